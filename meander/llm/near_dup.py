@@ -8,11 +8,13 @@ minimum of exponential variables. Such registers merge by maximum, and equal one
 2. band          r registers at a time are hashed; nodes meet in a bucket where a band is equal
 3. star          each member of a bucket meets its smallest member; the likelihood of the joint register comparison
                  estimates the similarity, low estimates go
-4. verify        the rest is compared on full sets, rebuilt from the texts of the documents concerned only
-5. components    of verified links; then the members of a bucket that is still in several components meet each other
-                 in tiles of bounded size, pairs inside a component left out, and pass 3's estimate and 4 again
+4. verify        the rest is compared on full sets, rebuilt from the texts of the documents that share a bucket
+5. components    of verified links
+6. the rest      a bucket whose members are in several components may hide more links: they meet in tiles of bounded size,
+                 pairs inside a component and pairs that an earlier band also joins left out; those that pass the
+                 estimate and a bound on the intersection from 16-bit hashes of the sets go through 4
 
-No bucket is capped: step 5 is the exact way for what the stars leave. With the defaults a pair at similarity 0.85 shares
+No bucket is capped: step 6 is the exact way for what the stars leave. With the defaults a pair at similarity 0.85 shares
 no band with probability (1 - 0.85^6)^32 = 3e-7.
 """
 
@@ -30,8 +32,8 @@ ROWS = 6
 LOG_B = np.log(1.001)
 TOP = 65535
 TILE = 256
-#: Pairs whose estimate is this much (in standard errors of a register comparison) under the threshold are not verified.
-ERRORS = 6.0
+#: Pairs whose estimate is this much (in standard errors of a register comparison at the threshold) under it are not verified.
+ERRORS = 5.0
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = (_rng.integers(1, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -81,7 +83,7 @@ def _matrix(column, width: int, kind) -> np.ndarray:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(key, id): one row for each band of each node."""
+    """(key, band, id): one row for each band of each node."""
     n = REGISTERS // ROWS
 
     def run(batches):
@@ -91,9 +93,9 @@ def bands(nodes: DataFrame) -> DataFrame:
                 key = np.broadcast_to(np.arange(n, dtype=np.uint64), regs.shape[:2]).copy()
                 for i in range(ROWS):
                     key = mix(key ^ regs[:, :, i])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(regs))), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["key", "band", "id"])
 
-    return nodes.select("id", "regs").mapInArrow(run, "key long, id long")
+    return nodes.select("id", "regs").mapInArrow(run, "key long, band int, id long")
 
 
 def estimate(n1, n2, plus, minus, same) -> np.ndarray:
@@ -138,27 +140,41 @@ def _pairs_likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
 
 
-def _in_tiles(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) of members (key, id, comp, n, n_shingles, regs) of one bucket that are in different components.
+def _in_tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of members (key, band, id, comp, n, n_shingles, regs, low) of one bucket in different components.
 
-    A bucket of n members is cut into n / TILE parts; each pair of parts is one group of at most a few TILE rows.
+    A bucket of n members is cut into n / TILE parts; each pair of parts is one group of at most a few TILE rows. low: the
+    distinct 16-bit hashes of a set. No more elements can be common than low hashes are, and those that one set lost by
+    collisions.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
     dealt = (
         members.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "comp", "n_shingles", "regs")
+        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "band", "id", "comp", "n_shingles", "regs", "low")
     )
 
     def run(_, table):
         ids, comp, n, part = (table.column(c).to_numpy() for c in ("id", "comp", "n_shingles", "part"))
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
         regs = _matrix(table.column("regs"), REGISTERS, np.uint16)
+        flags = np.zeros((len(ids), 1 << 16), bool)
+        lost = n.copy()
+        for i, x in enumerate(table.column("low").to_pylist()):
+            low = np.frombuffer(x, np.uint16)
+            flags[i, low] = True
+            lost[i] -= len(low)
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        del flags
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(part == p):
-            j = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if p == q else (part == q)))
+            j = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if p == q else (part == q)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if band and len(j):  # pairs that an earlier band joins have met there
+                j = j[~(regs[j, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
             if len(j):
                 j = j[_likely(np.broadcast_to(n[i], len(j)), n[j], regs[i][None, :], regs[j], least)]
+                both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(lost[j], lost[i])
+                j = j[100 * both >= percent * (n[i] + n[j] - both)]
                 a_out.append(np.minimum(ids[i], ids[j]))
                 b_out.append(np.maximum(ids[i], ids[j]))
         return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
@@ -166,9 +182,8 @@ def _in_tiles(members: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, s): the sets of the wanted ids as sorted 64-bit hashes. One shuffle of the texts, at every size."""
 
     def sets(batches):
         for batch in batches:
@@ -176,8 +191,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(values, np.array([len(s) for s in found], np.int64))], ["id", "s"])
 
-    full = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"])
-    full = written(full)
+    return texts.hint("merge").join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"])
+
+
+def _low(full: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            low = [np.unique(np.frombuffer(s.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary()), pa.array([s.as_buffer().size // 8 for s in batch.column(1)], pa.int64())], ["id", "low", "n_shingles"])
+
+    return full.mapInArrow(run, "id long, low binary, n_shingles long")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
 
     def compare(batches):
         for batch in batches:
@@ -189,9 +216,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             if any(ok):
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return (
-        pairs.join(full.toDF("a", "s1"), "a").join(full.toDF("b", "s2"), "b").select("a", "b", "s1", "s2").mapInArrow(compare, "a long, b long")
-    )
+    one, two = full.toDF("a", "s1"), full.toDF("b", "s2")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "s1", "s2").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _of_mixed_buckets(members: DataFrame) -> DataFrame:
+    """(key, band, id, comp, n) of the members whose bucket has several components; n: members of the bucket."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    return members.join(mixed.select("key", "n"), "key")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,24 +240,23 @@ def near_duplicates(df: DataFrame, words: int = 3, percent: int = 85, id_col: st
     sets = sized.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = sized.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "regs")).alias("x")).select("x.*")
     nodes = written(nodes)
-    least = percent / 100 - ERRORS * float(np.sqrt(0.25 / REGISTERS))
+    least = percent / 100 - ERRORS * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
 
     met = bands(nodes)
     buckets = met.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(met.join(buckets, "key").select("key", "id", "c", "n"))
+    met = written(met.join(buckets, "key").select("key", "band", "id", "c", "n"))
+    full = written(_full_sets(named.where("id is not null"), met.select("id").distinct(), words))
     stars = met.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    texts = named.where("id is not null")
-    links = written(_verified(written(_pairs_likely(stars, nodes, least)), texts, words, percent))
-    # Rows of one id with different sets are one document.
-    split = sized.join(sets, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(_verified(_pairs_likely(stars, nodes, least), full, percent))
     found = components(links)
 
-    placed = met.where("n > 2").join(found, met.id == found.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = placed.join(mixed, "key").join(nodes, "id").select("key", "id", "comp", "n", "n_shingles", "regs")
-    more = written(_in_tiles(rest, least).join(stars.toDF("a", "b"), ["a", "b"], "left_anti"))
+    placed = met.where("n > 2").join(found, met.id == found.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"))
+    rest = _of_mixed_buckets(placed).join(nodes.select("id", "n_shingles", "regs"), "id").join(_low(full), ["id", "n_shingles"])
+    more = written(_in_tiles(rest, least, percent))
     if not more.isEmpty():
-        links = links.union(written(_verified(more, texts, words, percent)))
+        links = links.union(written(_verified(more, full, percent)))
+    # Rows of one id with different sets are one document.
+    split = sized.join(sets, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     same = sized.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
     final = components(links.union(split.join(same.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")))
     out = drawn.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(sets, "digest", "left")
