@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, lang_id, near_dup, piece_count, quality, secret_scan, sharding
+from . import bpe, chat_format, decontaminate, lang_id, near_dup, piece_count, quality, secret_scan, sharding, suffix_dedup
 
 #: Folder of the public tokenisers' files; found by its package if it is None.
 TOKENIZERS: str | None = None
@@ -52,6 +52,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8).withColumnRenamed("id", "doc_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -97,5 +101,5 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id.doc_id", "id.held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_near_dup, op4_quality_rules, op5_bpe, op6_sharding, op8_chat_format, op9_secret_scan, op10_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_near_dup, op4_quality_rules, op5_bpe, op6_sharding, op7_suffix_dedup, op8_chat_format, op9_secret_scan, op10_lang_id)}
 ORACLE_SQL: dict[str, str] = {}
