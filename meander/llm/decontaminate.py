@@ -106,7 +106,7 @@ class Index:
 
 def _leaks(column, index: Index):
     """(row, item, equal tokens, tokens, first place) of an Arrow column; the best stretch for each row and item."""
-    for at, _, data, off in text_blocks(column):
+    for at, _, data, off in text_blocks(column, 1 << 18):
         h, first = _tokens(data, off)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for doc, item, diagonal in index.hits(h, first).tolist():
