@@ -93,6 +93,8 @@ def _repeats(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     runs = tuples(h, width)
     at = np.flatnonzero(doc[: len(runs)] == doc[width - 1 :]) if len(runs) else np.zeros(0, np.int64)
     key = mix(runs[at] + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not len(key):
+        return np.zeros(n, np.int64)
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = np.concatenate([[False], k[1:] == k[:-1]])
@@ -129,6 +131,8 @@ def _fertility(data, start, end, h, first, spec):
     """Tokens, fallback bytes and token entropy of each document of a block."""
     model, is_byte = _model(spec)
     n = len(first) - 1
+    if not len(h):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
     raw = data.tobytes()
     ids = model.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], num_threads=1)

@@ -101,10 +101,10 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     Only texts with a match of some pattern are shuffled, to meet their values. An n_chars column is counted anew for them.
     """
     spans = scan(df, id_col, text_col, owner_col, max_owners=max_owners)[1]
-    live = spans.where("verdict = 'live'").groupBy("id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
+    live = spans.where("verdict = 'live'").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
     text = F.col(text_col)
     some = F.coalesce(F.greatest(*(text.rlike(QUICK.get(p[0], p[1])) for p in PATTERNS)), F.lit(False))
-    hit = df.where(some).join(live, df[id_col].eqNullSafe(live.id), "left")
+    hit = df.where(some).join(live, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), text, lambda t, v: F.replace(t, v, F.lit(mark)))
     hit = hit.withColumn(text_col, clean)
     if "n_chars" in df.columns:
