@@ -158,10 +158,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/meander-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,12 +9,12 @@ without sending every suffix around:
 2. groups     Anchors meet by hash, as packed arrays. A context that an earlier document has too is removed as a whole. Contexts
               that share an anchor with another one, but are not equal, are left to 3; all others are unique.
               Within a task's batch only the smallest document of each context goes to the group, the others are settled.
-3. suffixes   The undecided contexts meet by the longer pieces around the anchor that every window holds one of. Their suffixes
-              are sorted in two stages: those smaller than their successors directly, the rest induced from these by a scan
+3. suffixes   The undecided contexts of an anchor meet. Their suffixes are sorted in two stages: those smaller than their successors directly, the rest induced from these by a scan
               over the buckets of first bytes. Adjacent common prefixes of WIDTH bytes or more join suffixes into runs; a suffix
               goes if its run has a smaller document.
 
-Only texts with undecided contexts travel a second time. Hashes of anchors and contexts have 72 bits together.
+Texts travel twice, compressed in blocks: for the contexts and for the result. Contexts
+are equal if 48 bits of their hashes are, besides the anchor's 32 and its part's. The different contexts of one anchor, less than 80 bytes for each document that has one, are held by one task.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ from .common import Prefix, mix, ragged, text_blocks, written
 WIDTH = 50
 GRAM = 24
 SPAN = WIDTH - GRAM + 1
-#: Every window reaches this far beyond the anchor's piece on one side at least.
-REACH = (WIDTH - GRAM + 1) // 2
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 CHUNK_BYTES = 1 << 20
+#: Small blocks keep the arrays of a block in a processor's cache.
+BLOCK = 1 << 18
+#: Texts whose occurrences are brought together before they are sent.
+GATHER_BYTES = 8 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 END = 0xFF  # no byte of UTF-8
 
@@ -45,7 +47,7 @@ def anchors(data: np.ndarray, off: np.ndarray):
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WIDTH:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint32), None
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
     prefix = Prefix(data)
     at = np.arange(n - GRAM + 1)
     h = prefix.of(at, at + GRAM)
@@ -58,42 +60,61 @@ def anchors(data: np.ndarray, off: np.ndarray):
     size = np.diff(off)
     starts = ragged(off[:-1], np.maximum(size - WIDTH + 1, 0))
     if not len(starts):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint32), None
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
     place = (low[starts] & _PLACE).astype(np.int64)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
     doc = np.searchsorted(off, place, "right") - 1
     begin, end = np.maximum(off[doc], place - SPAN + 1), np.minimum(off[doc + 1], place + WIDTH)
-    context = (mix(prefix.of(begin, end) + (place - begin).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    context = mix(prefix.of(begin, end) + (place - begin).astype(np.uint64)) >> np.uint64(16)
     return place, doc, begin, end, h[place], context, prefix
 
 
-def _packed(doc, key, context, flag) -> tuple[bytes, ...]:
+_KEY = np.uint64(0xFFFFFFFF)
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lower bytes of unsigned numbers, first all lowest, and so on: high bytes of small numbers compress away."""
+    return pa.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), "zstd", asbytes=True)
+
+
+def _from_planes(raw: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _packed(doc, key, context, flag) -> tuple:
+    """Numbers and planes of rows: documents by place in a list of their own, keys (in order, 32 bits) by difference."""
+    key = key & _KEY
+    order = np.argsort(key, kind="stable")
+    doc, key, context, flag = doc[order], key[order], context[order], flag[order]
     names, index = np.unique(doc, return_inverse=True)
-    small = index.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
-    rest = key & np.uint64((1 << 40) - 1)
-    return names.tobytes(), small.tobytes(), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (rest >> np.uint64(32)).astype(np.uint8).tobytes(), context.tobytes(), flag.tobytes()
+    names = names.view(np.uint64)
+    return len(doc), len(names), _planes(np.diff(names, prepend=np.uint64(0)), 8), _planes(index, 4), _planes(np.diff(key, prepend=np.uint64(0)), 4), context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), flag.tobytes()
 
 
-def _unpacked(names, index, low, high, context, flag):
-    names, low = np.frombuffer(names, np.int64), np.frombuffer(low, np.uint32)
-    index = np.frombuffer(index, np.uint16 if len(names) <= 1 << 16 else np.uint32)
-    key = low.astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
-    return names[index], key, np.frombuffer(context, np.uint32), np.frombuffer(flag, np.uint8)
+def _unpacked(n, k, names, index, key, context, flag):
+    names = np.cumsum(_from_planes(names, k, 8)).view(np.int64)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(context, np.uint8).reshape(n, 6)
+    return names[_from_planes(index, n, 4).astype(np.int64)], np.cumsum(_from_planes(key, n, 4)), whole.view("<u8").ravel(), np.frombuffer(flag, np.uint8)
 
 
-_FIELDS = ("names", "idx", "low", "high", "context", "flag")
-_PACKED = "dest int, settled boolean, " + ", ".join(f"{f} binary" for f in _FIELDS)
+_FIELDS = ("n", "k", "names", "idx", "key", "context", "flag")
+_PACKED = "dest int, settled boolean, n int, k int, " + ", ".join(f"{f} binary" for f in _FIELDS[2:])
 _COLUMNS = ["dest", "settled", *_FIELDS]
 
 
 def _batch(rows: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * len(_FIELDS)
+    kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int32()] + [pa.binary()] * (len(_FIELDS) - 2)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _COLUMNS)
 
 
 def _sent(dest: np.ndarray, settled: bool, doc, key, context, flag):
     """One packed row for each destination."""
+    if not len(dest):
+        return
     order = np.argsort(dest, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], dest[order][1:] != dest[order][:-1], [True]]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -111,25 +132,26 @@ def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            found = [[], [], []]
-            for at, _, data, off in text_blocks(batch.column(1)):
+            found, size = [], 0
+            for at, to, data, off in text_blocks(batch.column(1), BLOCK):
                 _, doc, _, _, key, context, _ = anchors(data, off)
-                for out, x in zip(found, (ids[at + doc], key, context), strict=True):
-                    out.append(x)
-            doc, key, context = (np.concatenate(x) for x in found) if found[0] else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-            if not len(doc):
-                continue
+                found.append((ids[at + doc], key, context))
+                size += len(data)
+                if size >= GATHER_BYTES or to == len(ids):
+                    if rows := list(settled(*(np.concatenate(x) for x in zip(*found, strict=True)))):
+                        yield _batch(rows)
+                    found, size = [], 0
+
+    def settled(doc, key, context):
+        if len(doc):
             order = np.lexsort((doc, context, key))
             doc, key, context = doc[order], key[order], context[order]
             same = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
             first = np.concatenate([[True], ~same])
             fresh = np.concatenate([[True], ~(same & (doc[1:] == doc[:-1]))])
-            group = np.cumsum(first) - 1
-            late = fresh & (doc > doc[first][group])
-            yield _batch([
-                *_sent((key[first] >> np.uint64(40)).astype(np.int64) * parts >> 24, False, doc[first], key[first], context[first], np.zeros(first.sum(), np.uint8)),
-                *_sent(part_of(doc[late], parts), True, doc[late], key[late], context[late], np.ones(late.sum(), np.uint8)),
-            ])
+            late = fresh & (doc > doc[first][np.cumsum(first) - 1])
+            yield from _sent((key[first] >> np.uint64(32)).astype(np.int64) * parts >> 32, False, doc[first], key[first], context[first], np.zeros(first.sum(), np.uint8))
+            yield from _sent(part_of(doc[late], parts), True, doc[late], key[late], context[late], np.ones(late.sum(), np.uint8))
 
     return docs.select("id", "text").mapInArrow(run, _PACKED)
 
@@ -172,51 +194,104 @@ def _verdicts(sent: DataFrame, parts: int) -> DataFrame:
     return sent.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(run, _PACKED)
 
 
-_APPLIED = "kind int, uid long, id long, route long, place long, body binary, spans binary, n_bytes long"
-_APPLIED_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+_APPLIED = "kind int, dest int, uid long, id long, route long, place long, body binary"
+_APPLIED_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_APPLIED_NAMES = [f.split()[0] for f in _APPLIED.split(", ")]
+
+
+def _in_parts(docs: DataFrame, parts: int) -> DataFrame:
+    """Compressed texts by the part of their documents; a row holds those of one part and batch."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=4)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            dest = part_of(ids, parts)
+            raw, rows = batch.column(1).cast(pa.binary()), []
+            for p in np.unique(dest).tolist():
+                own = np.flatnonzero(dest == p)
+                texts = raw.take(pa.array(own)).to_pylist()
+                whole = b"".join(texts)
+                rows.append((p, ids[own].tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), codec.compress(whole, asbytes=True) if whole else b""))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "ids", "sizes", "texts"])
+
+    return docs.select("id", "text").mapInArrow(run, "dest int, ids binary, sizes binary, texts binary")
+
+
+def _opened(table: pa.Table):
+    """(ids, bytes, offsets, uids) of the rows of _in_parts, one after the other. uid: hash of the id and the text."""
+    for ids, sizes, texts in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "texts")), strict=True):
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
+        raw = pa.decompress(texts, int(off[-1]), "zstd", asbytes=True) if texts else b""
+        ids = np.frombuffer(ids, np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK, "right")) - 1)
+            part, cut = data[off[at] : off[to]], off[at : to + 1] - off[at]
+            uid = (Prefix(part).of(cut[:-1], cut[1:]) ^ mix(ids[at:to].view(np.uint64))).view(np.int64)
+            yield ids[at:to], part, cut, uid
+            at = to
 
 
 def _applied(docs: DataFrame, verdicts: DataFrame, parts: int) -> DataFrame:
-    """Rows of two kinds. 0: a document, its text (none if nothing is left undecided) and spans; 1: an undecided context."""
+    """Rows of two kinds. 0: spans (body) of a document that an earlier one has; 1: an undecided context and its place."""
 
     def run(key, left, right):
         part = key[0].as_py()
         rows: list[tuple] = []
-        doc_v, key_v, context_v, flag_v = (np.concatenate(x) for x in zip(*[_unpacked(*r) for r in zip(*(right.column(f).to_pylist() for f in _FIELDS), strict=True)], strict=True)) if right.num_rows else [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint32, np.uint8)]
+        packed = list(zip(*(right.column(f).to_pylist() for f in _FIELDS), strict=True))
+        doc_v, key_v, context_v, flag_v = (np.concatenate(x) for x in zip(*[_unpacked(*r) for r in packed], strict=True)) if packed else [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.uint8)]
         known = mix(mix(doc_v.view(np.uint64) ^ key_v << np.uint64(20)) + context_v)
         order = np.argsort(known)
         known, flag_v = known[order], flag_v[order]
-        ids = left.column("id").to_numpy()
-        column = left.column("text").combine_chunks()
-        for at, to, data, off in text_blocks(column):
-            place, doc, begin, end, key_a, context, prefix = anchors(data, off)
-            flag = np.zeros(len(place), np.uint8)
-            if len(known) and len(place):
-                own = mix(mix(ids[at + doc].view(np.uint64) ^ (key_a & np.uint64((1 << 40) - 1)) << np.uint64(20)) + context)
-                i = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                flag = np.where(known[i] == own, flag_v[i], 0)
-            raw, cut = data.tobytes(), np.searchsorted(doc, np.arange(to - at + 1))
-            for d in range(to - at):
-                a, b, lo = cut[d], cut[d + 1], int(off[d])
-                uid, own_id = part << 32 | at + d, int(ids[at + d])
-                whole = np.flatnonzero(flag[a:b] == 1) + a
-                spans = np.stack([begin[whole] - lo, end[whole] - lo], axis=1)
-                text = raw[lo : int(off[d + 1])]
-                undecided = np.flatnonzero(flag[a:b] == 2) + a
-                if len(undecided):
-                    rows.append((0, uid, own_id, None, None, text, spans.tobytes(), len(text)))
-                    for i in undecided.tolist():
-                        p, s, e = int(place[i]), int(begin[i]), int(end[i])
-                        for x, y in ((p - REACH, p + GRAM), (p, p + GRAM + REACH)):
-                            if x >= s and y <= e:
-                                rows.append((1, uid, own_id, int(prefix.of(np.array([x]), np.array([y])).view(np.int64)[0]), (s - lo), raw[s:e], None, None))
+        for ids, data, off, uid in _opened(left):
+            place, doc, begin, end, key_a, context, _ = anchors(data, off)
+            if not len(known) or not len(place):
+                continue
+            own = mix(mix(ids[doc].view(np.uint64) ^ (key_a & _KEY) << np.uint64(20)) + context)
+            i = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            flag = np.where(known[i] == own, flag_v[i], 0)
+            spans = np.stack([begin - off[doc], end - off[doc]], axis=1)
+            raw = data.tobytes()
+            whole = np.flatnonzero(flag == 1)
+            edges = np.flatnonzero(np.concatenate([[True], doc[whole][1:] != doc[whole][:-1], [True]])) if len(whole) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                d = doc[whole[a]]
+                rows.append((0, part, int(uid[d]), int(ids[d]), None, None, spans[whole[a:b]].tobytes()))
+            left_over = np.flatnonzero(flag == 2)
+            d = doc[left_over]
+            for u, own_id, r, p, s, e in zip(uid[d].tolist(), ids[d].tolist(), key_a[left_over].view(np.int64).tolist(), spans[left_over, 0].tolist(), begin[left_over].tolist(), end[left_over].tolist(), strict=True):
+                rows.append((1, part, u, own_id, r, p, raw[s:e]))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, _APPLIED_KINDS, strict=True)], names=_APPLIED_NAMES)
+
+    return _in_parts(docs, parts).groupBy("dest").cogroup(verdicts.select("dest", *_FIELDS).groupBy("dest")).applyInArrow(run, _APPLIED)
+
+
+_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _finished(docs: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
+    """The result of each document from its spans (dest, uid, body)."""
+
+    def run(key, left, right):
+        uids, bodies = right.column("uid").to_numpy(), right.column("body").to_pylist()
+        gone: dict[int, list[bytes]] = {}
+        for u, b in zip(uids.tolist(), bodies, strict=True):
+            gone.setdefault(u, []).append(b)
+        rows = []
+        for ids, data, off, uid in _opened(left):
+            raw = data.tobytes()
+            for i, u, a, b in zip(ids.tolist(), uid.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                text = raw[a:b]
+                if u in gone:
+                    rows.append((i, b - a, *_kept(text, np.frombuffer(b"".join(gone[u]), np.int64).reshape(-1, 2))))
                 else:
-                    removed, runs, digest = _kept(text, spans)
-                    rows.append((2, uid, own_id, removed, runs, digest.encode(), None, len(text)))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, _APPLIED_KINDS, strict=True)], names=[f.split()[0] for f in _APPLIED.split(", ")])
+                    rows.append((i, b - a, 0, 0, hashlib.sha256(text).hexdigest()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=[f.split()[0] for f in _RESULT.split(", ")])
 
-    left = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), parts).astype(np.int32)), b.column(0), b.column(1)], ["dest", "id", "text"]) for b in batches), "dest int, id long, text string")
-    return left.groupBy("dest").cogroup(verdicts.select("dest", *_FIELDS).groupBy("dest")).applyInArrow(run, _APPLIED)
+    return _in_parts(docs, parts).groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(run, _RESULT)
 
 
 def _kept(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
@@ -298,16 +373,26 @@ def repeated(bodies: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _decided(contexts: DataFrame) -> DataFrame:
-    """(uid, spans): what suffix arrays remove of the undecided contexts."""
+    """(dest, uid, body): spans that suffix arrays remove of the undecided contexts."""
 
     def settle(rows: list):
         docs = np.array([r[1] for r in rows], np.int64)
         body, place = repeated([r[4] for r in rows], docs)
-        for b in np.unique(body).tolist():
-            p = np.sort(place[body == b]) + rows[b][3]
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(p) > 1]))
-            last = np.concatenate([edge[1:] - 1, [len(p) - 1]])
-            yield rows[b][0], np.stack([p[edge], p[last] + WIDTH], axis=1).astype(np.int64).tobytes()
+        if not len(body):
+            return
+        order = np.lexsort((place, body))
+        body, place = body[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (body[1:] != body[:-1]) | (place[1:] - place[:-1] > 1)]))
+        last = np.append(first[1:] - 1, len(body) - 1)
+        own, base = body[first], np.array([r[3] for r in rows], np.int64)
+        spans = np.stack([place[first] + base[own], place[last] + base[own] + WIDTH], axis=1)
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            r = rows[own[a]]
+            yield r[5], r[0], spans[a:z].tobytes()
+
+    def sent(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dest", "uid", "body"])
 
     def run(batches):
         group, chunk, size, route = [], [], 0, None
@@ -327,12 +412,12 @@ def _decided(contexts: DataFrame) -> DataFrame:
                 group.append(row)
                 size += len(row[4])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], ["uid", "spans"])
+                yield sent(out)
         chunk += closed()
         if chunk and (out := list(settle(chunk))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], ["uid", "spans"])
+            yield sent(out)
 
-    return contexts.select("uid", "id", "route", "place", "body").repartition("route").sortWithinPartitions("route").mapInArrow(run, "uid long, spans binary")
+    return contexts.select("uid", "id", "route", "place", "body", "dest").repartition("route").sortWithinPartitions("route").mapInArrow(run, "dest int, uid long, body binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,17 +430,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = named.where("id is not null")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / PART_BYTES))
-    applied = written(_applied(docs, _verdicts(_occurrences(docs, parts), parts), parts))
-    spans = _decided(applied.where("kind = 1")).groupBy("uid").agg(F.collect_list("spans").alias("more"))
-
-    def finish(batches):
-        for batch in batches:
-            out = [_kept(text, np.frombuffer(b"".join([own, *(more or ())]), np.int64).reshape(-1, 2)) for text, own, more in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            n, runs, digest = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    late = applied.where("kind = 0").join(spans, "uid", "left").select("id", "body", "spans", "more")
-    late = late.mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = applied.where("kind = 2").select("id", "n_bytes", F.col("route").alias("n_removed"), F.col("place").alias("n_spans"), F.col("body").cast("string").alias("kept_sha256"))
-    bare = named.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return done.union(late).union(bare)
+    applied = written(_applied(docs, _verdicts(_occurrences(docs, parts), parts), parts), compression="zstd")
+    spans = applied.where("kind = 0").select("dest", "uid", "body").union(_decided(applied.where("kind = 1")))
+    bare = named.where("id is null").select("id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256))
+    return _finished(docs, spans, parts).union(bare)
