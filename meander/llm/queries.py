@@ -102,4 +102,16 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_near_dup, op4_quality_rules, op5_bpe, op6_sharding, op7_suffix_dedup, op8_chat_format, op9_secret_scan, op10_lang_id)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": r"""
+WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', t FROM said UNION ALL SELECT -1, 1, 'assistant', t FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + len(regexp_extract_all(role, '<\\*\|')) + 5 * len(regexp_extract_all(role, '\n')) + 1
+    + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 11) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+}
