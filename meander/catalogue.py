@@ -173,7 +173,7 @@ steps AS (SELECT *, unnest(cn) AS next FROM pairs)"""
 
 
 def _transition_sql(w: str, ratio: str, more: str = "") -> str:
-    return ADJ + PAIRS + f", k AS (SELECT prev, cur, next, CAST({w} AS BIGINT) AS w, {ratio} AS ratio FROM steps {more}) SELECT prev, cur, next, w, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob, round(ratio, 6) AS ratio FROM k"
+    return ADJ + PAIRS + f", k AS (SELECT prev, cur, next, CAST({w} AS BIGINT) AS w, {ratio} AS ratio FROM steps {more}) SELECT prev, cur, next, w, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob, round(CAST(ratio AS DOUBLE), 6) AS ratio FROM k"
 
 
 def _transitions(kind: str, cfg: WalkConfig):
@@ -191,7 +191,7 @@ query("s_ar_transition", _transition_sql(AR_W, "(CAST(0.8 AS DOUBLE) / cd + CASE
 SIM = "len(list_intersect(pn, x.nbrs))"
 LINK_W = f"CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1 ELSE 0 END) ELSE {SIM} * 1048576 // (2 + pd + x.deg - {SIM}) END"
 query("s_linkscan_transition", _transition_sql(LINK_W, f"CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1.0 ELSE 0.0 END) ELSE CAST({SIM} AS DOUBLE) / (2 + pd + x.deg - {SIM}) END", "JOIN adj x ON x.src = next"))(_transitions("linkscan", CFG))
-query("s_acceptance", ADJ + PAIRS + " SELECT prev, cur, next, round(CASE WHEN next = prev THEN 0.25 * 0.25 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END, 6) AS ratio FROM steps")(lambda s, d: _transitions("node2vec", CFG)(s, d).select("prev", "cur", "next", "ratio"))
+query("s_acceptance", ADJ + PAIRS + " SELECT prev, cur, next, round(CAST(CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END AS DOUBLE), 6) AS ratio FROM steps")(lambda s, d: _transitions("node2vec", CFG)(s, d).select("prev", "cur", "next", "ratio"))
 query("s_uniform_neighbour", ADJ + f" SELECT src AS v, nbrs[1 + {u32_sql(str(SEED), 'src', '0')} % deg] AS next FROM adj")(lambda s, d: P.deepwalk(adj(s, d), WalkConfig(walk_length=1, seed=SEED)).where("step = 1").select(F.col("walk_id").alias("v"), F.col("vertex").alias("next")))
 query("s_membership", ADJ + PAIRS + " SELECT prev, cur, CAST(len(list_intersect(pn, cn)) AS INTEGER) AS n_common FROM pairs")(
     lambda s, d: (lambda a: a.where("src < 40").select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.explode("nbrs").alias("cur")).join(a.select(F.col("src").alias("cur"), F.col("nbrs").alias("cn")), "cur").select("prev", "cur", F.size(F.array_intersect("pn", "cn")).alias("n_common")))(adj(s, d)))
