@@ -13,8 +13,11 @@ without sending every suffix around:
               over the buckets of first bytes. Adjacent common prefixes of WIDTH bytes or more join suffixes into runs; a suffix
               goes if its run has a smaller document.
 
+4. the rest     An anchor with more than CROWD undecided contexts (say, the border of a passage that very many documents share) is
+              not given to one task: each window of its contexts is a key of its own that meets its equals by aggregation.
+
 Texts travel twice, compressed in blocks: for the contexts and for the result. Contexts
-are equal if 48 bits of their hashes are, besides the anchor's 32 and its part's. The different contexts of one anchor, less than 80 bytes for each document that has one, are held by one task.
+are equal if 48 bits of their hashes are, besides the anchor's 32 and its part's. Step 2 holds the hashes (not the bytes) of one anchor's different contexts in one task.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 18
 #: Texts whose occurrences are brought together before they are sent.
 GATHER_BYTES = 8 << 20
+#: Undecided contexts of one anchor that one task sorts; beyond that number their windows are spread.
+CROWD = 8192
 _PLACE = np.uint64((1 << 28) - 1)
 END = 0xFF  # no byte of UTF-8
 
@@ -420,7 +425,25 @@ def _decided(contexts: DataFrame) -> DataFrame:
     return contexts.select("uid", "id", "route", "place", "body", "dest").repartition("route").sortWithinPartitions("route").mapInArrow(run, "dest int, uid long, body binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _of_crowds(contexts: DataFrame) -> DataFrame:
+    """(dest, uid, body): the same spans by windows; for anchors that have too many contexts for one task."""
+
+    def run(batches):
+        for batch in batches:
+            bodies = []
+            for mask, base in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                at = base + np.flatnonzero(mask >> np.arange(SPAN) & 1)
+                bodies.append(np.stack([at, at + WIDTH], axis=1).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["dest", "uid", "body"])
+
+    windows = contexts.where(F.octet_length("body") >= WIDTH).withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("body") - WIDTH)))
+    windows = windows.select("dest", "uid", "id", "place", "i", F.expr(f"substring(body, i + 1, {WIDTH})").alias("window"))
+    least = windows.groupBy("window").agg(F.min("id").alias("least"))
+    late = windows.join(least, "window").where("id > least").groupBy("dest", "uid", "place").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    return late.select("dest", "uid", "mask", "place").mapInArrow(run, "dest int, uid long, body binary")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of df.
 
     A null text counts as empty; texts under WIDTH bytes lose nothing. Rows with equal ids take nothing from each other; a row without an id
@@ -431,6 +454,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / PART_BYTES))
     applied = written(_applied(docs, _verdicts(_occurrences(docs, parts), parts), parts), compression="zstd")
-    spans = applied.where("kind = 0").select("dest", "uid", "body").union(_decided(applied.where("kind = 1")))
+    undecided = applied.where("kind = 1")
+    crowded = written(undecided.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("route"))
+    spans = applied.where("kind = 0").select("dest", "uid", "body")
+    if crowded.isEmpty():
+        spans = spans.union(_decided(undecided))
+    else:
+        spans = spans.union(_decided(undecided.join(crowded, "route", "left_anti"))).union(_of_crowds(undecided.join(crowded, "route", "left_semi")))
     bare = named.where("id is null").select("id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256))
     return _finished(docs, spans, parts).union(bare)
