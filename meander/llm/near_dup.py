@@ -14,8 +14,8 @@ minimum of exponential variables. Such registers merge by maximum, and equal one
                  pairs inside a component and pairs that an earlier band also joins left out; those that pass the
                  estimate and a bound on the intersection from 16-bit hashes of the sets go through 4
 
-No bucket is capped: step 6 is the exact way for what the stars leave. With the defaults a pair at similarity 0.85 shares
-no band with probability (1 - 0.85^6)^32 = 3e-7.
+No bucket is capped: step 6 is the exact way for what the stars leave. A pair shares no band with probability
+(1 - 0.8^6)^32 = 6e-5 at similarity 0.8 and 3e-7 at 0.85.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def registers(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / LOG_B) + TOP // 4, 0, TOP).astype(np.uint16)
 
 
-def sketch(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, digest of the set, registers) for each row."""
 
     def run(batches):
@@ -226,7 +226,7 @@ def _of_mixed_buckets(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("key", "n"), "key")
 
 
-def near_duplicates(df: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df; other columns are not looked at.
 
     Linked are rows whose sets agree in at least percent % of their union. component_id is the smallest id reachable;

@@ -54,7 +54,7 @@ def by_id(rows, key="id"):
 
 
 def test_near(table):
-    got = by_id(near_dup.near_duplicates(table).collect())
+    got = by_id(near_dup.near_duplicates(table, words=3, percent=85).collect())
     assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9, None: None}
     assert [got[i].n_shingles for i in (3, 4, 5, 7, 9)] == [0, 0, 29_998, 0, 1] and got[None].kept and not got[6].kept
 
