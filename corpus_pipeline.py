@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    found = near_dup.near_duplicates(docs, words=3, percent=85)
+    found = near_dup.near_duplicates(docs, words=5, percent=80)
     return docs.join(found.where("not kept").selectExpr("id AS doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
