@@ -23,7 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_blocks
+
 CACHE_WORDS = 250_000
+#: Texts whose words are looked up, and whose ids are held, together.
+BLOCK_BYTES = 1 << 20
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -233,19 +237,6 @@ class Encoder:
         return [[get(w) for w in ws] for ws in split]
 
 
-def _in_groups(column, most: int = 1 << 20):
-    """Texts of an Arrow column in lists of about most characters together; null is empty."""
-    group, size = [], 0
-    for t in column.to_pylist():
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) for each row of df.
 
@@ -259,20 +250,21 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         v = sent.value
         encoder = v.encoder = v.encoder or Encoder(v)  # stays with the worker's copy of the vocabulary from task to task
         for batch in batches:
-            n, packed, digest, text = [], [], [], []
-            for group in _in_groups(batch.column(1)):
-                for parts in encoder.encode(group):
-                    joined = ",".join([p[0] for p in parts])
+            for at, to, data, off in text_blocks(batch.column(1), BLOCK_BYTES):
+                raw, cut = data.tobytes(), off.tolist()
+                n, packed, digest, text = [], [], [], []
+                for parts in encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]):
                     n.append(sum([p[1] for p in parts]))
-                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                    digest.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
                     text.append(hashlib.sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
-                    packed += [p[3] for p in parts] if keep_ids else ()
-            if keep_ids:
-                values = np.frombuffer(b"".join(packed), np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
-            else:
-                ids = pa.nulls(len(n), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ids, pa.array(digest, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                    if keep_ids:
+                        packed.append(b"".join([p[3] for p in parts]))
+                if keep_ids:
+                    values = np.frombuffer(b"".join(packed), np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
+                else:
+                    ids = pa.nulls(len(n), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), ids, pa.array(digest, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
