@@ -36,7 +36,7 @@ WIDTH = 50
 GRAM = 24
 SPAN = WIDTH - GRAM + 1
 PART_BYTES = 6 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Small blocks keep the arrays of a block in a processor's cache.
 BLOCK = 1 << 18
 #: Texts whose occurrences are brought together before they are sent.
@@ -438,7 +438,8 @@ def _of_crowds(contexts: DataFrame) -> DataFrame:
 
     windows = contexts.where(F.octet_length("body") >= WIDTH).withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("body") - WIDTH)))
     windows = windows.select("dest", "uid", "id", "place", "i", F.expr(f"substring(body, i + 1, {WIDTH})").alias("window"))
-    least = windows.groupBy("window").agg(F.min("id").alias("least"))
+    # Few windows of a border are shared: as a table of known size they can be sent to the others instead of a second shuffle.
+    least = written(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
     late = windows.join(least, "window").where("id > least").groupBy("dest", "uid", "place").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     return late.select("dest", "uid", "mask", "place").mapInArrow(run, "dest int, uid long, body binary")
 
