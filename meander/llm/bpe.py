@@ -7,7 +7,7 @@ pairs are tested at once by taking both tokens apart along their merges and aski
 crossed the boundary; only words with an incompatible pair are merged step by step.
 
 The pattern that cuts a text into words is that of the tokeniser's file (byte-level pre-tokeniser); special tokens of the
-file are cut out first, as its library does. Each worker keeps the words it has seen, up to CACHE_WORDS.
+file are cut out first, as its library does. Each worker keeps the words it has seen, up to a bound.
 """
 
 from __future__ import annotations
@@ -202,8 +202,8 @@ class Vocabulary:
 class Encoder:
     """Encodes texts with a bounded memory of words: (ids joined by commas, number of ids, bytes they stand for, ids as int32)."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.seen = vocabulary, {}
+    def __init__(self, vocabulary: Vocabulary, cache_words: int = CACHE_WORDS):
+        self.v, self.seen, self.cache_words = vocabulary, {}, cache_words
         self.words = regex.compile(WORD_PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.fixed = {s: (str(i), 1, vocabulary.id_bytes[i], pack("<i", i)) for s, i in vocabulary.special.items()}
@@ -222,7 +222,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes, bytes]]]:
         split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.seen)
-        if len(self.seen) + len(new) > CACHE_WORDS:
+        if len(self.seen) + len(new) > self.cache_words:
             self.seen.clear()
             new = set().union(*split)
         special = {w for w in new if w.startswith("\0special") and w[8:] in self.fixed}
@@ -237,10 +237,10 @@ class Encoder:
         return [[get(w) for w in ws] for ws in split]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) for each row of df.
 
-    ids is null unless keep_ids; decoded_sha256 is the digest of the text that decoding the ids gives. A null or empty text has no tokens. Rows
+    A worker keeps cache_words words at most (about 400 bytes each): more take less time. ids is null unless keep_ids; decoded_sha256 is the digest of the text that decoding the ids gives. A null or empty text has no tokens. Rows
     with null or repeated ids are encoded each; other columns are not read; an empty table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -248,7 +248,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         v = sent.value
-        encoder = v.encoder = v.encoder or Encoder(v)  # stays with the worker's copy of the vocabulary from task to task
+        encoder = v.encoder = v.encoder or Encoder(v, cache_words)  # stays with the worker's copy of the vocabulary from task to task
         for batch in batches:
             for at, to, data, off in text_blocks(batch.column(1), BLOCK_BYTES):
                 raw, cut = data.tobytes(), off.tolist()
