@@ -3,7 +3,7 @@
 A vocabulary trained on ordinary text spends few tokens on a word of its languages. Text of another kind (symbols, encoded
 data, glyph noise) needs many tokens per character, falls back to single bytes or repeats few tokens. Measured per document:
 code points per token, share of tokens that are fallback bytes, and entropy of the token distribution in bits. A document
-is rejected outside the band of its script. Words are encoded one by one, so a distinct word of a block is encoded once.
+is rejected outside the band of its class: its script and, where the table names a language that has a band, its language. Words are encoded one by one, so a distinct word of a block is encoded once.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ class Band:
 SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "arabic": ((0x600, 0x6FF),), "cjk": ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF))}
 BANDS = {
     "latin": Band(1.5, 12.0, 0.10, 4.75),
+    # Lower ends: first percentiles of all documents labelled good of that language at sf0.1 (base rules passed, from_tokens reached).
+    "latin_en": Band(2.095, 12.0, 0.10, 5.913),
+    "latin_de": Band(2.119, 12.0, 0.10, 5.832),
+    "latin_fr": Band(1.851, 12.0, 0.10, 5.778),
+    "latin_es": Band(1.823, 12.0, 0.10, 5.810),
     "greek": Band(0.7, 8.0, 0.30, 4.0),
     "cyrillic": Band(1.0, 10.0, 0.20, 4.5),
     "arabic": Band(0.6, 8.0, 0.40, 4.0),
@@ -152,9 +157,9 @@ def _fertility(data, start, end, h, first, spec):
     return tokens, fallback, entropy
 
 
-def _measure(column, spec, bands: dict[str, Band]) -> dict[str, list]:
+def _measure(column, langs: list | None, spec, bands: dict[str, Band]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in NAMES}
-    for _, _, data, off in text_blocks(column):
+    for at, _, data, off in text_blocks(column):
         start, end, first = word_spans(data, off)
         prefix = Prefix(data)
         h = prefix.of(start, end)
@@ -167,6 +172,8 @@ def _measure(column, spec, bands: dict[str, Band]) -> dict[str, list]:
         repeats = _repeats(h, first, 5)
         tokens, fallback, entropy = _fertility(data, start, end, h, first, spec)
         script = _script(data, off)
+        if langs is not None:
+            script = [f"{s}_{x}" if f"{s}_{x}" in bands else s for s, x in zip(script, langs[at : at + len(script)], strict=True)]
         failed = (n_words < BAD_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
         per_token, share = chars / np.maximum(tokens, 1), fallback / np.maximum(tokens, 1)
         band = [bands.get(s) or bands["other"] for s in script]
@@ -182,32 +189,34 @@ _TYPES = dict(zip(NAMES, ("long", "long", "long", "long", "long", "boolean", "bo
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
-def quality_rules(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, Band] | None = None) -> DataFrame:
-    """One row for each row of df: its id, the base counts, base_failed, the fertility figures, script and kept.
+def quality_rules(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, Band] | None = None, lang_col: str = "lang") -> DataFrame:
+    """One row for each row of df: its id, the base counts, base_failed, the fertility figures, script (the key of the band held) and kept.
 
     A null or empty text has no words: all counts 0, base_failed, not kept. Ids may be null or repeat; every row is judged
-    alone, so ties and repeated rows get equal verdicts. Other columns are not read. An empty table gives an empty result.
+    alone, so ties and repeated rows get equal verdicts. Of the other columns only lang_col is read, if there is one. An empty table gives an empty result.
     """
     bands = bands or BANDS
     spec = open(model, "rb").read()
+    lang = [F.col(lang_col).alias("lang")] if lang_col in df.columns else []
 
     def run(batches):
         for batch in batches:
-            got = _measure(batch.column(1), spec, bands)
+            got = _measure(batch.column(1), batch.column(2).to_pylist() if batch.num_columns > 2 else None, spec, bands)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[k], _ARROW[_TYPES[k]]) for k in NAMES)], ["id", *NAMES])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} {t}" for k, t in _TYPES.items()))
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *lang).mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} {t}" for k, t in _TYPES.items()))
 
 
-def good_rows(df: DataFrame, model: str, text_col: str = "text", bands: dict[str, Band] | None = None) -> DataFrame:
+def good_rows(df: DataFrame, model: str, text_col: str = "text", bands: dict[str, Band] | None = None, lang_col: str = "lang") -> DataFrame:
     """The rows of df that the rules keep, with all their columns, without a shuffle."""
     bands = bands or BANDS
     spec = open(model, "rb").read()
     place = df.columns.index(text_col)
+    lang = df.columns.index(lang_col) if lang_col in df.columns else None
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_measure(batch.column(place), spec, bands)["kept"], pa.bool_()))
+            yield batch.filter(pa.array(_measure(batch.column(place), None if lang is None else batch.column(lang).to_pylist(), spec, bands)["kept"], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -112,3 +112,12 @@ def test_leak_with_substitutions(spark, items):
     df = spark.createDataFrame([(1, "intro " + " ".join(words) + " outro"), (2, "nothing of that kind is here at all")], "doc_id long, text string")
     got = decontaminate.leaks(df, items).collect()
     assert {(r.id, r.item) for r in got} == {(1, 1), (1, 5)} and got[0].n_equal == len(words) - 2
+
+
+def test_bands_of_languages(spark):
+    """The bands themselves reject documents labelled bad, and few labelled good."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    got = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet"), tokenizer("piece_bpe_32k.model")).join(labels, "id").where("not base_failed").collect()
+    bad, good = ([r for r in got if r.quality == q] for q in (0, 1))
+    assert bad and sum(not r.kept for r in bad) >= len(bad) / 2 and sum(not r.kept for r in good) <= len(good) / 20
