@@ -3,7 +3,10 @@
 A mask says which of some successive tokens are hashed and which are ignored, so a passage with a few words replaced still
 shares seeds with its source where plain n-grams break. All masks of all benchmark items make an index; each document's
 seeds are looked up in it, and around every hit document and item are compared token by token along the hit's diagonal:
-the stretch of the best score (a match counts 1, a substitution -SUBSTITUTION) decides.
+it is a leak if any stretch has LEAST_TOKENS equal tokens at a share of LEAST_SHARE, and the one with most equal tokens is reported.
+
+The masks miss some of those stretches, so two hits of PAIR on one diagonal count as a hit too. Every leak has them: e equal tokens
+between m others make at most m + 1 runs, thus at least e - 2 (m + 1) runs of three; with e >= 12 and e >= 3 m that is two or more.
 
 The index is sent to the executors in blocks of a bounded number of items' bytes; a larger benchmark means more blocks,
 each held against all documents. Documents are read once a block and never shuffled.
@@ -23,7 +26,10 @@ MASKS = ("1101101011", "1011100101101", "111010011011")
 #: A stretch is a leak from that many equal tokens on (or all tokens of a shorter item), at that share of equal tokens at least.
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.75
-SUBSTITUTION = 3
+#: What a substitution takes from a stretch's score if a match gives 1: no score is negative where the share is reached.
+SUBSTITUTION = LEAST_SHARE / (1 - LEAST_SHARE)
+#: Two hits on a diagonal are needed.
+PAIR = "111"
 INDEX_BYTES = 32 << 20
 
 #: Tokens are runs of ASCII letters and digits and of bytes beyond ASCII; everything else separates.
@@ -58,10 +64,11 @@ class Index:
         self.tokens = tokens
         shortest = min(map(len, MASKS))
         spans = sorted({len(t) for t in tokens if 0 < len(t) < shortest})
-        self.masks = [*MASKS, *("1" * n for n in spans)]
+        #: (mask, hits needed on a diagonal)
+        self.masks = [*((m, 1) for m in MASKS), (PAIR, 2), *(("1" * n, 1) for n in spans)]
         self.tables = []
-        for mask in self.masks:
-            own = [(i, _seeds(t, mask)) for i, t in enumerate(tokens) if (len(t) >= shortest if mask in MASKS else len(t) == len(mask))]
+        for k, (mask, _) in enumerate(self.masks):
+            own = [(i, _seeds(t, mask)) for i, t in enumerate(tokens) if (len(t) >= shortest if k <= len(MASKS) else len(t) == len(mask))]
             seeds = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.uint64)
             item = np.repeat([i for i, _ in own], [len(s) for _, s in own]).astype(np.int64)
             place = np.concatenate([np.arange(len(s)) for _, s in own]) if own else np.zeros(0, np.int64)
@@ -73,7 +80,7 @@ class Index:
     def hits(self, h: np.ndarray, first: np.ndarray):
         """Distinct (document, item, diagonal) of the block's seed hits; diagonal: place in the document less that in the item."""
         found = []
-        for mask, (seeds, item, place, seen) in zip(self.masks, self.tables, strict=True):
+        for (mask, needed), (seeds, item, place, seen) in zip(self.masks, self.tables, strict=True):
             s = _seeds(h, mask)
             if not len(s) or not len(seeds):
                 continue
@@ -86,26 +93,29 @@ class Index:
             at = np.repeat(at, n)
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + len(mask) <= first[doc + 1]
-            found.append(np.stack([doc, item[pick], at - first[doc] - place[pick]], axis=1)[inside])
+            hit, n = np.unique(np.stack([doc, item[pick], at - first[doc] - place[pick]], axis=1)[inside], axis=0, return_counts=True)
+            found.append(hit[n >= needed])
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def leak(self, doc: np.ndarray, item: int, diagonal: int):
-        """(equal tokens, tokens, first place in the document) of the best stretch of a diagonal, or None."""
+        """(equal tokens, tokens, first place in the document) of a diagonal's stretch with most equal tokens, or None."""
         own = self.tokens[item]
         a, z = max(0, diagonal), min(len(doc), diagonal + len(own))
         same = doc[a:z] == own[a - diagonal : z - diagonal]
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))])
-        lowest = np.minimum.accumulate(total)
-        end = int(np.argmax(total - lowest))
-        begin = end - int(np.argmax(total[: end + 1][::-1] == lowest[end]))
-        equal = int(same[begin:end].sum())
-        if equal >= min(LEAST_TOKENS, len(own)) and equal >= LEAST_SHARE * (end - begin):
+        # For each end the earliest begin whose stretch reaches the share; the longer one has no fewer equal tokens.
+        begins = np.searchsorted(-np.minimum.accumulate(total), -total)
+        count = np.concatenate([[0], np.cumsum(same)])
+        end = int(np.argmax(count - count[begins]))
+        equal = int(count[end] - count[begins[end]])
+        if equal and equal >= min(LEAST_TOKENS, len(own)):
+            begin = int(begins[end]) + int(np.argmax(same[begins[end] : end]))
             return equal, end - begin, a + begin
         return None
 
 
 def _leaks(column, index: Index):
-    """(row, item, equal tokens, tokens, first place) of an Arrow column; the best stretch for each row and item."""
+    """(row, item, equal tokens, tokens, first place) of an Arrow column; the stretch with most equal tokens for each row and item."""
     for at, _, data, off in text_blocks(column, 1 << 18):
         h, first = _tokens(data, off)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}

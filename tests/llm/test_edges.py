@@ -1,7 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import random
+from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,21 @@ def test_bands_of_languages(spark):
     got = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet"), tokenizer("piece_bpe_32k.model")).join(labels, "id").where("not base_failed").collect()
     bad, good = ([r for r in got if r.quality == q] for q in (0, 1))
     assert bad and sum(not r.kept for r in bad) >= len(bad) / 2 and sum(not r.kept for r in good) <= len(good) / 20
+
+
+def reaches(same, need):
+    """Whether any stretch has that many equal tokens at the share, tried one by one."""
+    return any(sum(same[i:j]) >= max(need, decontaminate.LEAST_SHARE * (j - i)) for i in range(len(same)) for j in range(i + need, len(same) + 1))
+
+
+@pytest.mark.parametrize("n", [10, 12, 15, 16, 18, 20, 24, 30])
+def test_leaks_by_plain_definition(n):
+    """Every pattern of one to four replaced tokens, or a sample of patterns of up to half of them."""
+    draw, own = random.Random(n), [f"w{i}" for i in range(n)]
+    gone = [g for k in (1, 2, 3, 4) for g in combinations(range(n), k)] if n <= 16 else [draw.sample(range(n), draw.randint(1, n // 2)) for _ in range(2000)]
+    texts = ["before " + " ".join(f"x{i}" if i in g else w for i, w in enumerate(own)) + " after" for g in gone]
+    index = decontaminate.Index([1], [" ".join(own)])
+    got = {row: (equal, size) for row, _, equal, size, _ in decontaminate._leaks(pa.array(texts), index)}
+    same = [[i not in g for i in range(n)] for g in gone]
+    assert set(got) == {k for k, x in enumerate(same) if reaches(x, min(decontaminate.LEAST_TOKENS, n))}
+    assert all(e >= decontaminate.LEAST_SHARE * size for e, size in got.values())
