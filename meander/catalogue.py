@@ -176,14 +176,20 @@ def _transition_sql(w: str, ratio: str, more: str = "") -> str:
     return ADJ + PAIRS + f", k AS (SELECT prev, cur, next, CAST({w} AS BIGINT) AS w, {ratio} AS ratio FROM steps {more}) SELECT prev, cur, next, w, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob, round(CAST(ratio AS DOUBLE), 6) AS ratio FROM k"
 
 
-def _transitions(kind: str, cfg: WalkConfig):
+def _transitions(kind: str, cfg: WalkConfig, whole: bool = False):
+    """Steps from the previous vertices that the SQL has, or from all."""
     def f(s, d):
-        t = P.transitions(adj(s, d), kind, cfg, s.range(40).toDF("v"))
+        t = P.transitions(adj(s, d), kind, cfg, None if whole else s.range(40).toDF("v"))
         return t.select("prev", "cur", "next", "w", F.round("prob", 6).alias("prob"), F.round("ratio", 6).alias("ratio"))
 
     return f
 
 
+def _membership(prevs: DataFrame, a: DataFrame) -> DataFrame:
+    pairs = prevs.select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.explode("nbrs").alias("cur")).join(a.select(F.col("src").alias("cur"), F.col("nbrs").alias("cn")), "cur")
+    return pairs.select("prev", "cur", F.size(F.array_intersect("pn", "cn")).alias("n_common"))
+
+
 N2V_W = "CASE WHEN next = prev THEN 1 WHEN list_contains(pn, next) THEN 4 ELSE 16 END"
 query("s_n2v_transition", _transition_sql(N2V_W, "CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END"))(_transitions("node2vec", CFG))
 AR_W = "4 * pd + CASE WHEN list_contains(pn, next) THEN cd ELSE 0 END"
@@ -194,7 +200,14 @@ query("s_linkscan_transition", _transition_sql(LINK_W, f"CASE WHEN next = prev T
 query("s_acceptance", ADJ + PAIRS + " SELECT prev, cur, next, round(CAST(CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END AS DOUBLE), 6) AS ratio FROM steps")(lambda s, d: _transitions("node2vec", CFG)(s, d).select("prev", "cur", "next", "ratio"))
 query("s_uniform_neighbour", ADJ + f" SELECT src AS v, nbrs[1 + {u32_sql(str(SEED), 'src', '0')} % deg] AS next FROM adj")(lambda s, d: P.deepwalk(adj(s, d), WalkConfig(walk_length=1, seed=SEED)).where("step = 1").select(F.col("walk_id").alias("v"), F.col("vertex").alias("next")))
 query("s_membership", ADJ + PAIRS + " SELECT prev, cur, CAST(len(list_intersect(pn, cn)) AS INTEGER) AS n_common FROM pairs")(
-    lambda s, d: (lambda a: a.where("src < 40").select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.explode("nbrs").alias("cur")).join(a.select(F.col("src").alias("cur"), F.col("nbrs").alias("cn")), "cur").select("prev", "cur", F.size(F.array_intersect("pn", "cn")).alias("n_common")))(adj(s, d)))
+    lambda s, d: (lambda a: _membership(a.where("src < 40"), a))(adj(s, d)))
+
+# The same over the whole graph. No SQL is registered; a test holds them against the SQL above without its bound.
+query("s_n2v_transition_all")(_transitions("node2vec", CFG, whole=True))
+query("s_ar_transition_all")(_transitions("ar", CFG, whole=True))
+query("s_linkscan_transition_all")(_transitions("linkscan", CFG, whole=True))
+query("s_acceptance_all")(lambda s, d: _transitions("node2vec", CFG, whole=True)(s, d).select("prev", "cur", "next", "ratio"))
+query("s_membership_all")(lambda s, d: (lambda a: _membership(a, a))(adj(s, d)))
 
 
 # Walks. The SQL walks on as long as there is a next vertex; rows (wid, step, prev, cur).

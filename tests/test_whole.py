@@ -1,0 +1,39 @@
+"""Registered queries over whole tables against the SQL of their bounded counterparts, its bound taken away."""
+
+import duckdb
+import pytest
+
+from meander import catalogue
+
+D = "/root/testdata/sf0.001"
+#: Query: the one with the SQL, the bound in it.
+WHOLE = {
+    "s_n2v_transition_all": ("s_n2v_transition", " WHERE src < 40"),
+    "s_ar_transition_all": ("s_ar_transition", " WHERE src < 40"),
+    "s_linkscan_transition_all": ("s_linkscan_transition", " WHERE src < 40"),
+    "s_acceptance_all": ("s_acceptance", " WHERE src < 40"),
+    "s_membership_all": ("s_membership", " WHERE src < 40"),
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{D}/lineitem.parquet'")
+    return con
+
+
+def assert_same(df, duck, sql):
+    cols = sorted(df.columns)
+    r = duck.execute(sql)
+    names = [x[0] for x in r.description]
+    want = sorted(str(tuple(row[names.index(c)] for c in cols)) for row in r.fetchall())
+    assert want and sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", [*WHOLE])
+def test_whole(spark, duck, name):
+    bounded, bound = WHOLE[name]
+    sql = catalogue.ORACLE_SQL[bounded]
+    assert sql.count(bound) == 1
+    assert_same(catalogue.QUERIES[name](spark, D), duck, sql.replace(bound, ""))
