@@ -287,6 +287,17 @@ def _fanout_sql() -> str:
 
 
 query("w_fanout", _fanout_sql())(lambda s, d: P.fanout(adj(s, d), s.range(50).toDF("source"), FANOUT, SEED))
+#: The reference's own fan-outs.
+FULL_FANOUT = [50, 20, 10, 5]
+
+
+def fanout_of_all(s: SparkSession, d: str, sizes: list[int] = FULL_FANOUT) -> DataFrame:
+    """The neighbourhood of every vertex that has neighbours."""
+    a = adj(s, d)
+    return P.fanout(a, a.where("deg > 0").select(F.col("src").alias("source")), sizes, SEED)
+
+
+query("w_fanout_all")(fanout_of_all)
 query("w_frontier")(lambda s, d: P.frontier_sample(adj(s, d), 8, 5, 12, SEED))
 
 # Results
@@ -361,6 +372,12 @@ def _thresholds(s, d):
     return S.load_thresholds(full, demand)
 
 
+def _decision(lines: DataFrame, s, d):
+    return S.load_decision(lines.selectExpr("l_suppkey % 8 AS block_id", "l_partkey % 100 AS nwalks", "100 AS nverts", "l_linenumber = 4 AS resident"), _thresholds(s, d))
+
+
 query("l_thresholds", THRESHOLDS + " SELECT block_id, round(ths, 6) AS ths FROM th")(lambda s, d: _thresholds(s, d).withColumn("ths", F.round("ths", 6)))
 query("l_decision", THRESHOLDS + ", wk AS (SELECT l_suppkey % 8 AS block_id, l_partkey % 100 AS nwalks, 100 AS nverts, l_linenumber = 4 AS resident FROM lineitem WHERE l_orderkey < 50) SELECT block_id, CASE WHEN ths > 0 AND nwalks < ths * nverts AND NOT resident THEN 'on_demand' ELSE 'full' END AS mode FROM wk JOIN th USING (block_id)")(
-    lambda s, d: S.load_decision(table(s, d, "lineitem").where("l_orderkey < 50").selectExpr("l_suppkey % 8 AS block_id", "l_partkey % 100 AS nwalks", "100 AS nverts", "l_linenumber = 4 AS resident"), _thresholds(s, d)))
+    lambda s, d: _decision(table(s, d, "lineitem").where("l_orderkey < 50"), s, d))
+#: Every order line. No SQL is registered; a test holds it against the SQL above without its bound.
+query("l_decision_all")(lambda s, d: _decision(table(s, d, "lineitem"), s, d))

@@ -13,6 +13,7 @@ WHOLE = {
     "s_linkscan_transition_all": ("s_linkscan_transition", " WHERE src < 40"),
     "s_acceptance_all": ("s_acceptance", " WHERE src < 40"),
     "s_membership_all": ("s_membership", " WHERE src < 40"),
+    "l_decision_all": ("l_decision", " WHERE l_orderkey < 50"),
 }
 
 
@@ -37,3 +38,16 @@ def test_whole(spark, duck, name):
     sql = catalogue.ORACLE_SQL[bounded]
     assert sql.count(bound) == 1
     assert_same(catalogue.QUERIES[name](spark, D), duck, sql.replace(bound, ""))
+
+
+def test_fanout_of_all(spark, duck):
+    sql = catalogue.ORACLE_SQL["w_fanout"]
+    assert sql.count(" WHERE src < 50") == 1
+    assert_same(catalogue.fanout_of_all(spark, D, catalogue.FANOUT), duck, sql.replace(" WHERE src < 50", ""))
+
+
+def test_fanout_sizes(spark):
+    """All levels of the reference's fan-outs for every root."""
+    roots = catalogue.adj(spark, D).count()
+    got = {r["level"]: r["count"] for r in catalogue.QUERIES["w_fanout_all"](spark, D).groupBy("level").count().collect()}
+    assert got == {0: roots, 1: roots * 50, 2: roots * 1000, 3: roots * 10_000, 4: roots * 50_000}
