@@ -142,3 +142,13 @@ def test_leaks_by_plain_definition(n):
     same = [[i not in g for i in range(n)] for g in gone]
     assert set(got) == {k for k, x in enumerate(same) if reaches(x, min(decontaminate.LEAST_TOKENS, n))}
     assert all(e >= decontaminate.LEAST_SHARE * size for e, size in got.values())
+
+
+def test_short_texts_are_judged(spark):
+    """Fallback bytes and few different tokens are no less bad in a short text."""
+    glyphs = " ".join(f"{chr(97 + i)}{chr(98 + i)}{chr(0x13000 + i)}" for i in range(12))
+    pairs = "Les, Les, la la ouque ouque éoué éoué eaument eaument lepavi lepavi les, les, leeau leeau"
+    df = spark.createDataFrame([(1, glyphs), (2, pairs), (3, TEXT)], "doc_id long, text string")
+    got = by_id(quality.quality_rules(df, tokenizer("piece_bpe_32k.model")).collect())
+    assert all(not r.base_failed and r.n_tokens < 128 for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: False, 3: True}
