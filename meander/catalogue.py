@@ -80,6 +80,8 @@ query("g_undirected", UND + " SELECT src, dst FROM und")(und)
 query("g_reverse", RAW + " SELECT DISTINCT dst AS src, src AS dst FROM raw")(lambda s, d: G.reversed_edges(raw(s, d)))
 query("g_oneway", RAW + " SELECT src, dst FROM raw EXCEPT SELECT dst, src FROM raw")(lambda s, d: G.one_way(raw(s, d)))
 query("g_merge", RAW + " SELECT src, dst FROM raw WHERE src < dst UNION SELECT src, dst FROM raw WHERE src % 2 = 0")(lambda s, d: G.merged(raw(s, d).where("src < dst"), raw(s, d).where("src % 2 = 0")))
+#: Two whole lists. No SQL is registered; a test holds it against the SQL above with its lists exchanged.
+query("g_merge_all")(lambda s, d: G.merged(raw(s, d), G.reversed_edges(raw(s, d))))
 query("g_completed", RAW + ", e AS (SELECT DISTINCT src, dst FROM raw) SELECT src, dst FROM e UNION ALL (SELECT dst, src FROM e EXCEPT SELECT src, dst FROM e) ORDER BY 1, 2")(lambda s, d: G.completed(raw(s, d).distinct()))
 query("g_sorted", RAW + " SELECT src, dst FROM raw ORDER BY src, dst")(lambda s, d: G.sorted_edges(raw(s, d)))
 query("g_bipartite", "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e")(supplier_part_edges)

@@ -40,6 +40,13 @@ def test_whole(spark, duck, name):
     assert_same(catalogue.QUERIES[name](spark, D), duck, sql.replace(bound, ""))
 
 
+def test_merge_of_all(spark, duck):
+    sql = catalogue.ORACLE_SQL["g_merge"]
+    first, second = " WHERE src < dst", "SELECT src, dst FROM raw WHERE src % 2 = 0"
+    assert sql.count(first) == sql.count(second) == 1
+    assert_same(catalogue.QUERIES["g_merge_all"](spark, D), duck, sql.replace(first, "").replace(second, "SELECT dst, src FROM raw"))
+
+
 def test_fanout_of_all(spark, duck):
     sql = catalogue.ORACLE_SQL["w_fanout"]
     assert sql.count(" WHERE src < 50") == 1
