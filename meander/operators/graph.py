@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -107,25 +108,42 @@ def random_starts(vertices: DataFrame, n: int, seed: int) -> DataFrame:
 def sequential_blocks(adj: DataFrame, capacity: int) -> DataFrame:
     """(block_id, start_v, end_v, n_edges): greedy ranges of vertices with at most capacity edges.
 
-    A vertex with more than that is a block of its own. Each block's start depends on the one before, so the degrees run in
-    order through one task, which keeps a few numbers; only (vertex, degree) pairs go there.
+    A vertex with more than that is a block of its own. Degrees are sorted and summed up by ranges, in parallel. Each block's start
+    depends on the one before, so the running sums, packed by batch, pass one task in order, which jumps from start to start
+    by binary search and keeps a few numbers.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, start, edges, last = 0, 0, 0, -1
-        for f in frames:
+    degrees_ = adj.select("src", F.col("deg").cast("bigint").alias("deg"))
+    summed = running_sum(degrees_, F.col("deg"), "_to", F.col("src"), keep_range=True).select("_range", "src", "_to")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r, v, to = (c.to_numpy() for c in b.columns)
+            edges = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1], [True]])) if len(r) else [0]
+            cuts = [slice(a, z) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(v[c][0]) for c in cuts], pa.int64()), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (v, to))], ["first", "v", "to"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, start, before, seen, last, opened = 0, 0, 0, 0, -1, False
+        for b in batches:
             out = []
-            for v, d in zip(f["src"].tolist(), f["deg"].tolist(), strict=True):
-                if last >= 0 and edges + d > capacity and v > start:
-                    out.append((block, start, v, edges))
-                    block, start, edges = block + 1, v, 0
-                edges, last = edges + d, v
-            yield pd.DataFrame(out, columns=["block_id", "start_v", "end_v", "n_edges"])
+            for v, to in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                v, to = np.frombuffer(v, np.int64), np.frombuffer(to, np.int64)
+                at = 0 if opened else 1  # a block holds its first vertex, whatever its degree
+                opened = True
+                while (j := max(at, int(np.searchsorted(to, before + capacity, "right")))) < len(v):
+                    sum_ = int(to[j - 1]) if j else seen
+                    out.append((block, start, int(v[j]), sum_ - before))
+                    block, start, before, at = block + 1, int(v[j]), sum_, j + 1
+                seen, last = int(to[-1]), int(v[-1])
+            yield rows(out)
         if last >= 0:
-            yield pd.DataFrame([(block, start, last + 1, edges)], columns=["block_id", "start_v", "end_v", "n_edges"])
+            yield rows([(block, start, last + 1, seen - before)])
+
+    def rows(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["block_id", "start_v", "end_v", "n_edges"])
 
-    ordered = adj.select("src", F.col("deg").cast("bigint").alias("deg")).coalesce(1).sortWithinPartitions("src")
-    return ordered.mapInPandas(fold, "block_id int, start_v long, end_v long, n_edges long")
+    parts = summed.mapInArrow(packed, "first long, v binary, to binary")
+    return parts.repartition(1).sortWithinPartitions("first").mapInArrow(fold, "block_id int, start_v long, end_v long, n_edges long")
 
 
 def capacity_of(blocksize_kb: int) -> int:
@@ -138,9 +156,15 @@ def default_block_kb(n_vertices: int, walks_per_vertex: int) -> int:
 
 
 def with_block(df: DataFrame, blocks: DataFrame, col: str, name: str = "block_id") -> DataFrame:
-    """df with the block of a vertex column: a range join on the block starts (a row for each block)."""
-    b = F.broadcast(blocks.select(F.col("start_v").alias("_s"), F.col("end_v").alias("_e"), F.col("block_id").alias(name)))
-    return df.join(b, (F.col(col) >= F.col("_s")) & (F.col(col) < F.col("_e"))).drop("_s", "_e")
+    """df with the block of a vertex column.
+
+    Ids are cut into cells of one width, about as many as there are blocks; a block has a row for each cell that it touches, so
+    the range lookup is an equality join on the cell and a check of the range.
+    """
+    span, n = blocks.agg(F.max("end_v"), F.count(F.lit(1))).first()
+    width = max(1, -(-(span or 0) // max(n, 1)))
+    cells = blocks.select(F.col("start_v").alias("_s"), F.col("end_v").alias("_e"), F.col("block_id").alias(name), F.explode(F.expr(f"sequence(start_v div {width}L, (end_v - 1) div {width}L)")).alias("_cell"))
+    return df.withColumn("_cell", F.expr(f"`{col}` div {width}L")).join(cells, "_cell").where((F.col(col) >= F.col("_s")) & (F.col(col) < F.col("_e"))).drop("_cell", "_s", "_e")
 
 
 def by_partition(parts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import with_block
@@ -57,9 +57,14 @@ def block_choice(steps: DataFrame, blocks: DataFrame) -> DataFrame:
     return per.agg(F.max_by("block_id", F.struct("n", -F.col("block_id"))).alias("most_walks"), F.min_by("block_id", F.struct("hop", "block_id")).alias("least_hop"))
 
 
-def choose_block(steps: DataFrame, blocks: DataFrame, prob: float, draw: float) -> DataFrame:
-    """(block_id): the block of the fewest hops if draw < prob, else that of most walks."""
-    return block_choice(steps, blocks).select(F.col("least_hop" if draw < prob else "most_walks").alias("block_id"))
+def choose_block(steps: DataFrame, blocks: DataFrame, prob: float, draw: Column) -> DataFrame:
+    """(block_id): the block of the fewest hops if the draw, from 0 to below 1, is under prob; else that of most walks."""
+    return block_choice(steps, blocks).select(F.when(draw < prob, F.col("least_hop")).otherwise(F.col("most_walks")).alias("block_id"))
+
+
+def block_log(steps: DataFrame, blocks: DataFrame, adj: DataFrame) -> DataFrame:
+    """(step, block_id, nverts, nedges, nwalks): the loads of a run, a row for each step and block that walks stand in."""
+    return walks_per_block(steps, blocks).join(block_sizes(adj, blocks), "block_id").select("step", "block_id", "nverts", "nedges", F.col("n_walks").alias("nwalks"))
 
 
 def activated(steps: DataFrame, blocks: DataFrame, adj: DataFrame) -> DataFrame:
@@ -119,6 +124,18 @@ def load_thresholds(full: DataFrame, on_demand: DataFrame, least_rows: int = 8)
 
 
 def load_decision(walks: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(block_id, mode): on_demand where ths > 0, the block is not resident and nwalks < ths * nverts; else full."""
+    """(block_id, mode): on_demand where ths > 0, the block is not resident and nwalks < ths * nverts; else full.
+
+    With thresholds by pairs (block_id, other_block, ths) walks have other_block too, and so has the result.
+    """
+    key = ["block_id", "other_block"] if "other_block" in thresholds.columns else ["block_id"]
     fetch = (F.col("ths") > 0) & (F.col("nwalks") < F.col("ths") * F.col("nverts")) & ~F.col("resident")
-    return walks.join(thresholds, "block_id", "left").select("block_id", F.when(F.coalesce(fetch, F.lit(False)), "on_demand").otherwise("full").alias("mode"))
+    return walks.join(thresholds, key, "left").select(*key, F.when(F.coalesce(fetch, F.lit(False)), "on_demand").otherwise("full").alias("mode"))
+
+
+def pair_thresholds(full: DataFrame, on_demand: DataFrame, least_rows: int = 8) -> DataFrame:
+    """(block_id, other_block, ths) of logs by pairs of blocks, the other block the smaller one, as load_thresholds gives them by block."""
+    def keyed(log: DataFrame) -> DataFrame:
+        return log.withColumn("block_id", F.struct("block_id", "other_block"))
+
+    return load_thresholds(keyed(full), keyed(on_demand), least_rows).select("block_id.block_id", "block_id.other_block", "ths")

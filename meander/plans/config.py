@@ -17,6 +17,8 @@ class WalkConfig:
     seed: int = 42
     #: Steps between two tables of the frontier.
     segment: int = 5
+    #: Up to that many walks from a list of starts fetch the lists that they need by id instead of reading the graph.
+    on_demand_walks: int = 10_000
 
     @classmethod
     def from_settings(cls, settings: dict[str, str], **over) -> WalkConfig:

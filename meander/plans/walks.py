@@ -1,10 +1,14 @@
 """Walk programs as loops of joins.
 
-The frontier has a row for each walk: its number, the previous and the current vertex, the hop, and the vertices since the
-last table. A step joins the current vertex (and, for second-order programs, the previous one) to the adjacency table and
-picks the next vertex by arithmetic on one hash draw, so a rejection loop is not needed: return vertex, common
-neighbours and others are classes with a weight each. Every few steps the frontier is written; the same table gives the
-rows (walk_id, step, vertex) and cuts the lineage. Walks that have ended keep an id that joins with nothing.
+The frontier has a row for each walk: its number, the previous and the current vertex, the vertices since the last table, and, inside
+a segment, the neighbours of the previous vertex. A step joins the current vertex to the adjacency table, which lies in buckets by vertex
+so that only the frontier moves, and picks the next vertex by arithmetic on one hash draw, so a rejection loop is not needed: return
+vertex, common neighbours and others are classes with a weight each. The neighbours found become those of the previous vertex in the
+next step. Every few steps the frontier is written; the same table gives the rows (walk_id, step, vertex) and cuts the lineage. Walks
+that have ended keep an id that joins with nothing; a run ends early when all have.
+
+A few walks (on_demand_walks) do not read the whole graph: each step fetches the lists of the vertices that they stand on, by id, and so
+only the buckets that hold them.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from ..sources.tables import written
 from .config import WalkConfig
 
 Weigh = Callable[[WalkConfig, Column, Column], weights.Classes]
+#: From a frontier, the number of the step and the adjacency rows that it may need to the next frontier.
+Step = Callable[[DataFrame, int, DataFrame], DataFrame]
+STATE = ("walk_id", "prev", "cur", "done", "trail", "base")
 
 
 def _starts(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None) -> DataFrame:
@@ -36,36 +43,46 @@ def _pick(list_: Column, i: Column) -> Column:
     return F.get(list_, i.cast("int"))
 
 
-def _run(frontier: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, segment: int) -> DataFrame:
-    """Rows (walk_id, step, vertex) of a frontier (walk_id, prev, cur, hop, done, trail, base) moved on by that many steps."""
+def _run(frontier: DataFrame, adj: DataFrame, step: Step, steps: int, segment: int, second_order: bool = False, few: bool = False) -> DataFrame:
+    """Rows (walk_id, step, vertex) of a frontier moved on by that many steps, or until no walk goes on.
+
+    few: the walks are known to be few; their vertices go to the driver in each step, and the lists of these are fetched.
+    """
     parts, at = [], 0
     while True:
-        now = min(segment, steps - at)
+        now = min(1 if few else segment, steps - at)
+        near = adj
+        if few:
+            ids = frontier.where("not done").select(F.explode(F.array_compact(F.array("cur", "prev")))).distinct().collect()
+            near = adj.where(F.col("src").isin([r[0] for r in ids]))
+        if second_order and at:
+            frontier = _at(frontier, near, "prev", "pn")
         for i in range(now):
-            frontier = step(frontier, at + i)
+            frontier = step(frontier, at + i, near)
         at += now
-        frontier = written(frontier)
+        frontier = written(frontier.select(*STATE))
         parts.append(frontier.select("walk_id", "base", F.posexplode("trail").alias("i", "vertex")).select("walk_id", (F.col("base") + F.col("i")).alias("step"), "vertex"))
-        if at >= steps:
-            return reduce(DataFrame.union, parts)
         frontier = frontier.where("not done").withColumn("base", F.col("base") + F.size("trail")).withColumn("trail", F.array().cast("array<bigint>"))
+        if at >= steps or frontier.isEmpty():
+            return reduce(DataFrame.union, parts)
 
 
 def _frontier(starts: DataFrame) -> DataFrame:
     return starts.select("walk_id", F.lit(None).cast("bigint").alias("prev"), F.col("source").alias("cur"), F.lit(False).alias("done"), F.array("source").alias("trail"), F.lit(0).alias("base"))
 
 
-def _moved(df: DataFrame, new: Column, also_stop: Column | None = None) -> DataFrame:
-    """df one step on to new; a null means that the walk ends where it is."""
+def _moved(df: DataFrame, also_stop: Column | None = None) -> DataFrame:
+    """df one step on to _new, _n being the neighbours found; a null _new means that the walk ends where it is."""
     go = ~F.col("done") & F.col("_new").isNotNull()
-    out = df.withColumn("_new", new if also_stop is None else F.when(~also_stop, new))
-    return out.select(
+    df = df.withColumn("_go", go if also_stop is None else go & ~also_stop)
+    return df.select(
         "walk_id",
-        F.when(go, F.col("cur")).otherwise(F.col("prev")).alias("prev"),
-        F.when(go, F.col("_new")).otherwise(F.col("cur")).alias("cur"),
-        (~go).alias("done"),
-        F.when(go, F.array_append("trail", F.col("_new"))).otherwise(F.col("trail")).alias("trail"),
+        F.when(F.col("_go"), F.col("cur")).otherwise(F.col("prev")).alias("prev"),
+        F.when(F.col("_go"), F.col("_new")).otherwise(F.col("cur")).alias("cur"),
+        (~F.col("_go")).alias("done"),
+        F.when(F.col("_go"), F.array_append("trail", F.col("_new"))).otherwise(F.col("trail")).alias("trail"),
         "base",
+        F.when(F.col("_go"), F.col("_n")).alias("pn"),
     )
 
 
@@ -75,40 +92,42 @@ def _at(df: DataFrame, adj: DataFrame, col: str, name: str) -> DataFrame:
     return df.withColumn("_k", key).join(adj.select(F.col("src").alias("_k"), F.col("nbrs").alias(name)), "_k", "left").drop("_k")
 
 
-def _uniform_step(adj: DataFrame, cfg: WalkConfig) -> Callable[[DataFrame, int], DataFrame]:
-    def step(df: DataFrame, i: int) -> DataFrame:
+def _uniform_step(cfg: WalkConfig) -> Step:
+    def step(df: DataFrame, i: int, adj: DataFrame) -> DataFrame:
         df = _at(df, adj, "cur", "_n")
-        return _moved(df, F.when(F.size("_n") > 0, _pick(F.col("_n"), F.pmod(u32(cfg.seed, F.col("walk_id"), i), F.size("_n")))))
+        return _moved(df.withColumn("_new", F.when(F.size("_n") > 0, _pick(F.col("_n"), F.pmod(u32(cfg.seed, F.col("walk_id"), i), F.size("_n"))))))
 
     return step
 
 
-def choose_by_class(u: Column, prev: Column, nbrs: Column, prev_nbrs: Column, w: weights.Classes) -> Column:
-    """The candidate that the draw u falls on: return vertex, common neighbours in order, the others in order."""
-    own = F.array_except(nbrs, F.array(prev))
-    common, other = F.array_intersect(own, prev_nbrs), F.array_except(own, prev_nbrs)
-    back = F.when(F.array_contains(nbrs, prev), w.back).otherwise(F.lit(0))
-    some = F.size(common) * w.common
-    k = below(u, back + some + F.size(other) * w.other)
+def choose_by_class(df: DataFrame, u: Column, w: weights.Classes) -> DataFrame:
+    """df with _new: the neighbour in _n that the draw u falls on, for walks at cur from prev with neighbours pn.
+
+    Return vertex, common neighbours in order, the others in order. Each array is made once, in a column of its own.
+    """
     # try_divide would make doubles: integer division of non-negative numbers.
     def div(a: Column, b: Column) -> Column:
         return F.floor(a / F.greatest(b, F.lit(1)))
 
-    return F.when(F.size(nbrs) <= 0, F.lit(None)).when(k < back, prev).when(k < back + some, _pick(common, div(k - back, w.common))).otherwise(_pick(other, div(k - back - some, w.other)))
+    common, other = F.array_except(F.array_intersect("_n", "pn"), F.array("prev")), F.array_except(F.array_except("_n", F.coalesce("pn", F.array().cast("array<bigint>"))), F.array("prev"))
+    df = df.withColumn("_common", F.coalesce(common, F.array().cast("array<bigint>")))
+    back = F.array_contains("_n", F.col("prev"))
+    df = df.select("*", F.when(back, w.back).otherwise(F.lit(0)).alias("_b"), w.common.alias("_wc"), w.other.alias("_wo"), (F.size("_n") - F.size("_common") - back.cast("int")).alias("_rest"))
+    df = df.withColumn("_some", F.col("_b") + F.size("_common") * F.col("_wc"))
+    df = df.withColumn("_draw", below(u, F.col("_some") + F.col("_rest") * F.col("_wo")))
+    new = F.when(F.col("_draw") < F.col("_b"), F.col("prev")).when(F.col("_draw") < F.col("_some"), _pick(F.col("_common"), div(F.col("_draw") - F.col("_b"), F.col("_wc"))))
+    return df.withColumn("_new", F.when(F.size("_n") > 0, new.otherwise(_pick(other, div(F.col("_draw") - F.col("_some"), F.col("_wo"))))))
 
 
-def _class_step(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, stop: Callable[[DataFrame, int], Column] | None = None) -> Callable[[DataFrame, int], DataFrame]:
-    first = _uniform_step(adj, cfg)
+def _class_step(cfg: WalkConfig, weigh: Weigh, stop: Callable[[int], Column] | None = None) -> Step:
+    first = _uniform_step(cfg)
 
-    def step(df: DataFrame, i: int) -> DataFrame:
+    def step(df: DataFrame, i: int, adj: DataFrame) -> DataFrame:
         if i == 0:
-            return first(df, 0)
-        both = _at(_at(df, adj, "cur", "_n"), adj, "prev", "_p")
-        empty = F.array().cast("array<bigint>")
-        n, p = F.coalesce("_n", empty), F.coalesce("_p", empty)
-        w = weigh(cfg, F.size(p).cast("bigint"), F.size(n).cast("bigint"))
-        new = choose_by_class(u32(cfg.seed, F.col("walk_id"), i), F.col("prev"), n, p, w)
-        return _moved(both, new, stop(df, i) if stop else None)
+            return first(df, 0, adj)
+        both = _at(df, adj, "cur", "_n")
+        w = weigh(cfg, F.size("pn").cast("bigint"), F.size("_n").cast("bigint"))
+        return _moved(choose_by_class(both, u32(cfg.seed, F.col("walk_id"), i), w), stop(i) if stop else None)
 
     return step
 
@@ -121,22 +140,27 @@ def _ar_weights(cfg: WalkConfig, deg_prev: Column, deg_cur: Column) -> weights.C
     return weights.autoregressive(cfg.alpha, deg_prev, deg_cur)
 
 
-def _decayed(cfg: WalkConfig) -> Callable[[DataFrame, int], Column]:
+def _decayed(cfg: WalkConfig) -> Callable[[int], Column]:
     bound = int(cfg.decay_factor * (1 << 32))
-    return lambda df, i: u32(cfg.seed, F.col("walk_id"), i, "d") > bound
+    return lambda i: u32(cfg.seed, F.col("walk_id"), i, "d") > bound
+
+
+def _few(cfg: WalkConfig, who: DataFrame, starts: DataFrame | None) -> bool:
+    """Whether a list of starts gives so few walks that lists are fetched by id."""
+    return starts is not None and who.limit(cfg.on_demand_walks + 1).count() <= cfg.on_demand_walks
 
 
 def deepwalk(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """First-order walks of at most walk_length edges; a sink ends one. vertices (v): also those without neighbours start."""
     who = _starts(adj if vertices is None else vertices.select(F.col("v").alias("src")), cfg, starts)
-    return _run(_frontier(who), _uniform_step(adj, cfg), cfg.walk_length, cfg.segment)
+    return _run(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length, cfg.segment, few=_few(cfg, who, starts))
 
 
 def _second_order(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, starts: DataFrame | None, edges: int, stop=None) -> DataFrame:
     who = _starts(adj.where("deg > 0"), cfg, starts)
     if starts is not None:
         who = who.join(adj.where("deg > 0").select(F.col("src").alias("source")), "source", "left_semi").select("walk_id", "source")
-    return _run(_frontier(who), _class_step(adj, cfg, weigh, stop), edges, cfg.segment)
+    return _run(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, cfg.segment, second_order=True, few=_few(cfg, who, starts))
 
 
 def node2vec(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:
@@ -160,29 +184,40 @@ def autoregressive_ppr(adj: DataFrame, cfg: WalkConfig, starts: DataFrame) -> Da
 def linkscan(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:
     """Steps weighted by the similarity of the previous vertex and the candidate; a vertex of degree 1 sends the walk back.
 
-    Candidates need their own neighbours: the frontier is exploded, joined and brought together again in each step.
+    Candidates need their own neighbours: those of a walk's current vertex are exploded, joined and brought together again in each step.
     """
-    first = _uniform_step(adj, cfg)
+    first = _uniform_step(cfg)
+    candidates = "array<struct<x:bigint,w:bigint>>"
 
-    def step(df: DataFrame, i: int) -> DataFrame:
+    def step(df: DataFrame, i: int, adj: DataFrame) -> DataFrame:
         if i == 0:
-            return first(df, 0)
-        both = _at(_at(df, adj, "cur", "_n"), adj, "prev", "_p")
-        kept = ["walk_id", "prev", "cur", "done", "trail", "base"]
-        each = both.select(*kept, F.size("_n").alias("_d"), "_p", F.explode_outer("_n").alias("_x"))
+            return first(df, 0, adj)
+        both = _at(df, adj, "cur", "_n")
+        each = both.where("not done").select("walk_id", "prev", "pn", F.explode("_n").alias("_x"))
         far = adj.select(F.col("src").alias("_x"), F.col("nbrs").alias("_xn"), F.col("deg").alias("_xd"))
-        c = F.size(F.array_intersect("_p", "_xn"))
-        w = F.when(F.col("_x") == F.col("prev"), 0).otherwise(weights.similarity(c, F.size("_p"), F.col("_xd")))
-        scored = each.join(far, "_x", "left").select(*kept, "_d", "_x", F.coalesce(w, F.lit(0)).cast("bigint").alias("_w"))
-        run = F.sum("_w").over(W.partitionBy("walk_id").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
-        total = F.sum("_w").over(W.partitionBy("walk_id"))
-        spread = scored.withColumn("_to", run).withColumn("_k", below(u32(cfg.seed, F.col("walk_id"), i), total))
-        hit = F.min(F.when(F.col("_to") > F.col("_k"), F.struct("_to", "_x")))["_x"]
-        one = spread.groupBy("walk_id").agg(*(F.first(k).alias(k) for k in kept if k != "walk_id"), F.first("_d").alias("_d"), hit.alias("_hit"))
-        return _moved(one, F.when(F.col("_d") == 1, F.col("prev")).otherwise(F.col("_hit")))
+        scored = each.join(far, "_x").withColumn("_c", F.size(F.array_intersect("pn", "_xn")))
+        w = F.when(F.col("_x") == F.col("prev"), 0).otherwise(weights.similarity(F.col("_c"), F.size("pn"), F.col("_xd")))
+        listed = scored.select("walk_id", F.struct(F.col("_x").alias("x"), w.cast("bigint").alias("w")).alias("_s")).groupBy("walk_id").agg(F.sort_array(F.collect_list("_s")).alias("_l"))
+        drawn = both.join(listed, "walk_id", "left").withColumn("_l", F.coalesce("_l", F.array().cast(candidates)))
+        drawn = drawn.withColumn("_draw", below(u32(cfg.seed, F.col("walk_id"), i), F.aggregate("_l", F.lit(0).cast("bigint"), lambda t, c: t + c["w"])))
+        return _moved(drawn.withColumn("_new", F.when(F.size("_n") == 1, F.col("prev")).otherwise(pick_by_weight(F.col("_l"), F.col("_draw")))))
 
     who = _starts(adj.where("deg > 0"), cfg, starts)
-    return _run(_frontier(who), step, cfg.walk_length + 1, cfg.segment)
+    return _run(_frontier(who), adj, step, cfg.walk_length + 1, cfg.segment, second_order=True)
+
+
+def pick_by_weight(candidates: Column, draw: Column) -> Column:
+    """x of the candidate (x, w) in which the draw, below the sum of the weights, falls: the first whose running sum passes it, the last if none does.
+
+    Weights of any kind: the exact sampler where no classes are known. Null if all weights are 0.
+    """
+    empty = F.struct(F.lit(0).cast("bigint").alias("to"), F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("last"))
+
+    def on(t: Column, c: Column) -> Column:
+        to = t["to"] + c["w"]
+        return F.struct(to.alias("to"), F.when(t["x"].isNull() & (to > draw) & (c["w"] > 0), c["x"]).otherwise(t["x"]).alias("x"), F.when(c["w"] > 0, c["x"]).otherwise(t["last"]).alias("last"))
+
+    return F.aggregate(candidates, empty, on, lambda t: F.coalesce(t["x"], t["last"]))
 
 
 def fanout(adj: DataFrame, roots: DataFrame, sizes: list[int], seed: int) -> DataFrame:
@@ -229,27 +264,35 @@ def frontier_sample(adj: DataFrame, n_replicas: int, n_roots: int, budget: int,
 
 
 def transitions(adj: DataFrame, kind: str, cfg: WalkConfig, prevs: DataFrame | None = None) -> DataFrame:
-    """(prev, cur, next, w, prob, ratio): all second-order steps, their integer weights, probabilities and acceptance ratios.
+    """(prev, cur, next, w, total, prob, ratio): all second-order steps, their integer weights, the weights' sum over next, probabilities and acceptance ratios.
 
-    kind: node2vec, ar or linkscan. prevs (v) bounds the previous vertices; all of them cost the sum of squared degrees.
+    kind: node2vec, ar or linkscan. prevs (v) bounds the previous vertices; all of them cost the sum of squared degrees. The sums of
+    class weights come from sizes, so nothing is brought together by (prev, cur). linkscan brings the paths of two edges together
+    by their ends: there are as many as the ends have common neighbours (the graph is undirected).
     """
     t = adj if prevs is None else adj.join(prevs.select(F.col("v").alias("src")), "src", "left_semi")
     pairs = t.select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.col("deg").cast("bigint").alias("pd"), F.explode("nbrs").alias("cur"))
-    steps = pairs.join(adj.select(F.col("src").alias("cur"), F.col("deg").cast("bigint").alias("cd"), F.col("nbrs").alias("cn")), "cur").withColumn("next", F.explode("cn"))
-    back, common = F.col("next") == F.col("prev"), F.array_contains("pn", F.col("next"))
+    pairs = pairs.join(adj.select(F.col("src").alias("cur"), F.col("deg").cast("bigint").alias("cd"), F.col("nbrs").alias("cn")), "cur")
     if kind == "linkscan":
-        steps = steps.join(adj.select(F.col("src").alias("next"), F.col("nbrs").alias("xn"), F.col("deg").cast("bigint").alias("xd")), "next")
-        c = F.size(F.array_intersect("pn", "xn"))
+        far = adj.select(F.col("src").alias("next"), F.col("deg").cast("bigint").alias("xd"))
+        steps = pairs.select("prev", "pd", "cur", "cd", F.explode("cn").alias("next")).join(far, "next")
+        back, ends, via = F.col("next") == F.col("prev"), W.partitionBy("prev", "next"), W.partitionBy("prev", "cur")
+        c = F.col("_c")
+        steps = steps.withColumn("_c", F.count(F.lit(1)).over(ends))
         w = F.when(back, F.when(F.col("cd") == 1, F.lit(1)).otherwise(F.lit(0))).otherwise(weights.similarity(c, F.col("pd"), F.col("xd")))
         ratio = F.when(back, F.when(F.col("cd") == 1, 1.0).otherwise(0.0)).otherwise(c / (2 + F.col("pd") + F.col("xd") - c))
-    else:
-        k = weights.node2vec(cfg.p, cfg.q) if kind == "node2vec" else weights.autoregressive(cfg.alpha, F.col("pd"), F.col("cd"))
-        w = F.when(back, k.back).when(common, k.common).otherwise(k.other)
-        p, q, a = float(cfg.p), float(cfg.q), float(cfg.alpha)
-        ratio = weights.node2vec_acceptance(p, q, back, common) if kind == "node2vec" else weights.autoregressive_acceptance(a, F.col("pd"), F.col("cd"), common)
-    scored = steps.select("prev", "cur", "next", w.cast("bigint").alias("w"), ratio.alias("ratio"))
-    total = F.sum("w").over(W.partitionBy("prev", "cur"))
-    return scored.select("prev", "cur", "next", "w", (F.col("w") / total).alias("prob"), "ratio")
+        scored = steps.select("prev", "cur", "next", w.cast("bigint").alias("w"), ratio.alias("ratio")).withColumn("total", F.sum("w").over(via))
+        return scored.select("prev", "cur", "next", "w", "total", (F.col("w") / F.col("total")).alias("prob"), "ratio")
+    k = weights.node2vec(cfg.p, cfg.q) if kind == "node2vec" else weights.autoregressive(cfg.alpha, F.col("pd"), F.col("cd"))
+    pairs = pairs.withColumn("_common", F.array_except(F.array_intersect("cn", "pn"), F.array("prev")))
+    returns = F.array_contains("cn", F.col("prev")).cast("int")
+    total = returns * k.back + F.size("_common") * k.common + (F.size("cn") - F.size("_common") - returns) * k.other
+    steps = pairs.withColumn("total", total.cast("bigint")).select("prev", "pd", "cur", "cd", "total", "_common", F.explode("cn").alias("next"))
+    back, common = F.col("next") == F.col("prev"), F.array_contains("_common", F.col("next"))
+    w = F.when(back, k.back).when(common, k.common).otherwise(k.other)
+    p, q, a = float(cfg.p), float(cfg.q), float(cfg.alpha)
+    ratio = weights.node2vec_acceptance(p, q, back, common) if kind == "node2vec" else weights.autoregressive_acceptance(a, F.col("pd"), F.col("cd"), common)
+    return steps.select("prev", "cur", "next", w.cast("bigint").alias("w"), "total", ratio.alias("ratio")).select("prev", "cur", "next", "w", "total", (F.col("w") / F.col("total")).alias("prob"), "ratio")
 
 
 PROGRAMS = {"node2vec": node2vec, "ar": autoregressive, "ppr": ppr, "ar_ppr": autoregressive_ppr, "linkscan": linkscan, "deepwalk": deepwalk}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import row_numbers
+
 
 def edge_lines(edges: DataFrame, sep: str = " ") -> DataFrame:
     return edges.orderBy("src", "dst").select(F.concat_ws(sep, "src", "dst").alias("value"))
@@ -33,11 +35,64 @@ def write_adjacency(adj: DataFrame, path: str) -> None:
     adj.repartitionByRange("src").sortWithinPartitions("src").write.parquet(path)
 
 
+def _number_lines(rows: DataFrame, value: str, path: str, *order: str) -> None:
+    rows.orderBy(*order).select(F.col(value).cast("string").alias("value")).write.text(path)
+
+
+def write_block_starts(blocks: DataFrame, path: str) -> None:
+    """A line for each start of a block and one for the end of the last: the files of block ranges."""
+    ends = blocks.agg(F.max("end_v").alias("v"))
+    _number_lines(blocks.select(F.col("start_v").alias("v")).union(ends), "v", path, "v")
+
+
+def write_partition(parts: DataFrame, path: str) -> None:
+    """The block of each vertex of (vertex, block_id), a line each; vertices are numbered from 0 without gaps."""
+    _number_lines(parts, "block_id", path, "vertex")
+
+
+def write_thresholds(thresholds: DataFrame, path: str) -> None:
+    """The threshold of each block of (block_id, ths), a line each."""
+    _number_lines(thresholds, "ths", path, "block_id")
+
+
+def write_pair_thresholds(thresholds: DataFrame, path: str) -> None:
+    """The thresholds of (block_id, other_block, ths), other_block < block_id: for each block from 1 on a line for each smaller one."""
+    _number_lines(thresholds, "ths", path, "block_id", "other_block")
+
+
+def write_starts(starts: DataFrame, path: str) -> None:
+    """The sources of (position, source), a line each."""
+    _number_lines(starts, "source", path, "position")
+
+
+def write_facts(adj: DataFrame, vertices_path: str, degree_path: str) -> None:
+    """The number of vertices (largest id and 1) and the largest degree, each a file of one line."""
+    adj.agg((F.max("src") + 1).cast("string").alias("value")).write.text(vertices_path)
+    adj.agg(F.max("deg").cast("string").alias("value")).write.text(degree_path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Block logs, use and activity logs, block ranges: any flat table, with a header."""
+    """Any flat table, with a header."""
     rows.write.csv(path, header=True)
 
 
+def write_block_log(log: DataFrame, path: str) -> None:
+    """(block_id, other_block, nverts, nedges, nwalks, load_time, exec_time) as a block log with the header that its readers know; without other_block a log of static blocks."""
+    pairs = "other_block" in log.columns
+    names = {"dynamic-block-id" if pairs else "static-block-id": "block_id"} | ({"static-block-id": "other_block"} if pairs else {}) | {"nverts": "nverts", "nedges": "nedges", "nwalks": "nwalks", "load-block-time": "load_time", "exec-block-time": "exec_time"}
+    write_csv(log.select(*(F.col(c).alias(n) for n, c in names.items())), path)
+
+
+def write_use_log(activity: DataFrame, path: str, how: str = "edges") -> None:
+    """Activity rows (step, block_id, activated, used_edges, total_vertices, total_edges) as a log of block loads, in the order of step and block.
+
+    how: edges for used and loaded edges, vertices for activated and all vertices. A block that walks leave from in a step is one load.
+    """
+    used, total = {"edges": (("Used Edges", "used_edges"), ("Total Load Edges", "total_edges")), "vertices": (("Activated Vertices", "activated"), ("Total Vertices", "total_vertices"))}[how]
+    numbered = row_numbers(activity, "n", F.col("step"), F.col("block_id")).orderBy("n")
+    write_csv(numbered.select(F.col("n").alias("IO Num"), F.col("block_id").alias("Block Id"), F.lit("static-block").alias("Block Type"), *(F.col(c).alias(n) for n, c in (used, total))), path)
+
+
 def write_metrics(metrics: DataFrame, path: str, how: str = "csv") -> None:
     """Running statistics by key as csv (with a header), json, key=value lines (text), a html table or nothing (null)."""
     if how == "csv":

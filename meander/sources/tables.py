@@ -9,18 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df from a Parquet table in the session's checkpoint folder: cuts the lineage and outlives lost executors."""
-    sc = df.sparkSession.sparkContext
-    where = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. Only a local session may do without: it gets one of its own."""
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meander-"))
         where = sc.getCheckpointDir()
-    path = f"{where.rstrip('/')}/meander-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/meander-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """df from a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+    path = new_path(df.sparkSession)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, col: str) -> DataFrame:
+    """df from a table in the shared folder that lies in sorted buckets by a column: joins on it leave the table where it is."""
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, col).write.bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    table.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import row_numbers
+
 
 def _is_comment(line: Column) -> Column:
     return line.rlike("^[#%]") | (F.trim(line) == "")
 
 
-def read_edges(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, keep_all: bool = False) -> DataFrame:
+    """(line, value): the lines of a text that are no comments (keep_all: all), numbered from 0 in their order, files by path.
+
+    A split of a file is read in order by one task, so file, start of the split and the running id of the scan give the order;
+    places are numbered by ranges of it, so a file may have any size.
+    """
+    split = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return row_numbers(split if keep_all else split.where(~_is_comment(F.col("value"))), "line", F.col("_f"), F.col("_b"), F.col("_m")).select("line", "value")
+
+
+def read_edges(spark: SparkSession, path: str, strict: bool = True, numbered: bool = False) -> DataFrame:
     """(src, dst) of an edge list: two integers by tab, comma or blanks, further fields left out, # and % open comments.
 
-    strict: a line without two integers ends the job; else it is dropped.
+    strict: a line without two integers ends the job; else it is dropped. numbered: also line, the place in the file, by which ids can
+    be given in the order of first appearance.
     """
     parts = F.split(F.trim("value"), "[\t, ]+")
-    lines = spark.read.text(path).where(~_is_comment(F.col("value")))
-    edges = lines.select(F.get(parts, F.lit(0)).try_cast("bigint").alias("src"), F.get(parts, F.lit(1)).try_cast("bigint").alias("dst"), "value")
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path).where(~_is_comment(F.col("value")))
+    own = ["line"] if numbered else []
+    edges = lines.select(*own, F.get(parts, F.lit(0)).try_cast("bigint").alias("src"), F.get(parts, F.lit(1)).try_cast("bigint").alias("dst"), "value")
     if strict:
         ok = F.col("src").isNotNull() & F.col("dst").isNotNull()
-        return edges.select(F.when(ok, F.col("src")).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), "value"))).cast("bigint").alias("src"), "dst")
-    return edges.where("src is not null and dst is not null").select("src", "dst")
+        return edges.select(*own, F.when(ok, F.col("src")).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), "value"))).cast("bigint").alias("src"), "dst")
+    return edges.where("src is not null and dst is not null").select(*own, "src", "dst")
 
 
 def read_starts(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
@@ -31,25 +45,49 @@ def read_starts(spark: SparkSession, path: str, n: int | None = None) -> DataFra
 
 
 def read_numbers(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """(line, value) of a file with one number a line: thresholds by block, block starts, or the block of each vertex.
+    """(line, value) of a file with one number a line: thresholds by block, block starts, or the block of each vertex."""
+    return numbered_lines(spark, path).select("line", F.trim("value").cast(kind).alias("value"))
 
-    Such files have a line for each block or start; the line numbers need the file as one text.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    kept = whole.where(~_is_comment(F.col("text")))
-    skipped = whole.where(_is_comment(F.col("text"))).select(F.col("line").alias("c"))
-    numbered = kept.join(skipped, F.col("c") < F.col("line"), "left").groupBy("line", "text").agg(F.count("c").alias("before"))
-    return numbered.select((F.col("line") - F.col("before")).cast("bigint").alias("line"), F.trim("text").cast(kind).alias("value"))
+
+def read_block_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(block_id, start_v, end_v) of a file of block starts whose last line is the end of the last block."""
+    line = read_numbers(spark, path, "bigint")
+    end = line.select((F.col("line") - 1).alias("line"), F.col("value").alias("end_v"))
+    return line.join(end, "line").select(F.col("line").cast("int").alias("block_id"), F.col("value").alias("start_v"), "end_v")
 
 
-BLOCK_LOG = "block_id int, other_block int, nverts bigint, nedges bigint, nwalks bigint, load_time double, exec_time double"
+def read_partition(spark: SparkSession, path: str) -> DataFrame:
+    """(vertex, block_id) of a file that has the block of each vertex in its line."""
+    return read_numbers(spark, path, "int").select(F.col("line").alias("vertex"), F.col("value").alias("block_id"))
+
+
+def read_pair_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """(block_id, other_block, ths) of a file of thresholds by pairs: for each block from 1 on a line for each smaller one."""
+    block = F.floor((1 + F.sqrt(1 + 8 * F.col("line"))) / 2).cast("bigint")
+    return read_numbers(spark, path).select(block.cast("int").alias("block_id"), (F.col("line") - F.expr("{b} * ({b} - 1) div 2".format(b="cast(floor((1 + sqrt(1 + 8 * line)) / 2) as bigint)"))).cast("int").alias("other_block"), F.col("value").alias("ths"))
+
+
+#: Columns of block logs by the names that the threshold training knows, and their types. Fixed names: those of the log files.
+BLOCK_LOG = {
+    "dynamic-block-id": ("block_id", "int"),
+    "static-block-id": ("other_block", "int"),
+    "nverts": ("nverts", "bigint"),
+    "nedges": ("nedges", "bigint"),
+    "nwalks": ("nwalks", "bigint"),
+    "load-block-time": ("load_time", "double"),
+    "exec-block-time": ("exec_time", "double"),
+    "exec-bucket-time": ("exec_time", "double"),
+}
 
 
 def read_block_log(spark: SparkSession, path: str) -> DataFrame:
-    """A block log with its header, columns by name whatever their order: dynamic or static, full load or on demand."""
+    """A block log with its header, whatever the order of its columns: (block_id, other_block, nverts, nedges, nwalks, load_time, exec_time), those that it has.
+
+    A log of static blocks has no dynamic ones: its block_id is the static block.
+    """
     log = spark.read.csv(path, header=True)
-    known = {"nverts": "bigint", "nedges": "bigint", "nwalks": "bigint", "load-block-time": "double", "exec-block-time": "double", "dynamic-block-id": "int", "static-block-id": "int"}
-    return log.select(*(F.col(f"`{c}`").cast(t).alias(c.replace("-", "_")) for c, t in known.items() if c in log.columns))
+    names = BLOCK_LOG if "dynamic-block-id" in log.columns else BLOCK_LOG | {"static-block-id": BLOCK_LOG["dynamic-block-id"]}
+    return log.select(*(F.col(f"`{c}`").cast(kind).alias(name) for c, (name, kind) in names.items() if c in log.columns))
 
 
 def read_settings(text: str, local: str | None = None, **over: str) -> dict[str, str]:
