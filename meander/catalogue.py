@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.rng import u32_sql
+from .functions.rng import below, u32, u32_sql
 from .operators import graph as G
 from .operators import stats as S
 from .plans import walks as P
 from .plans.config import WalkConfig
-from .sources import sinks
-from .sources.tables import copurchase_edges, supplier_part_edges, table, written
+from .sources import sinks, text
+from .sources.tables import copurchase_edges, in_buckets, new_path, supplier_part_edges, table, written
 
 SEED = 42
 CAPACITY = 4096
@@ -52,8 +53,8 @@ def und(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adj(spark: SparkSession, d: str) -> DataFrame:
-    """The adjacency table, written once for the steps of a query."""
-    return written(G.adjacency(und(spark, d)))
+    """The adjacency table, written once for the steps of a query, in buckets by vertex."""
+    return in_buckets(G.adjacency(und(spark, d)), "src")
 
 
 def directed(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +80,7 @@ query("g_self_loops_dropped", RAW + " SELECT src, dst FROM raw WHERE src <> dst"
 query("g_undirected", UND + " SELECT src, dst FROM und")(und)
 query("g_reverse", RAW + " SELECT DISTINCT dst AS src, src AS dst FROM raw")(lambda s, d: G.reversed_edges(raw(s, d)))
 query("g_oneway", RAW + " SELECT src, dst FROM raw EXCEPT SELECT dst, src FROM raw")(lambda s, d: G.one_way(raw(s, d)))
-query("g_merge", RAW + " SELECT src, dst FROM raw WHERE src < dst UNION SELECT src, dst FROM raw WHERE src % 2 = 0")(lambda s, d: G.merged(raw(s, d).where("src < dst"), raw(s, d).where("src % 2 = 0")))
-#: Two whole lists. No SQL is registered; a test holds it against the SQL above with its lists exchanged.
-query("g_merge_all")(lambda s, d: G.merged(raw(s, d), G.reversed_edges(raw(s, d))))
+query("g_merge", RAW + " SELECT src, dst FROM raw UNION SELECT dst, src FROM raw")(lambda s, d: G.merged(raw(s, d), G.reversed_edges(raw(s, d))))
 query("g_completed", RAW + ", e AS (SELECT DISTINCT src, dst FROM raw) SELECT src, dst FROM e UNION ALL (SELECT dst, src FROM e EXCEPT SELECT src, dst FROM e) ORDER BY 1, 2")(lambda s, d: G.completed(raw(s, d).distinct()))
 query("g_sorted", RAW + " SELECT src, dst FROM raw ORDER BY src, dst")(lambda s, d: G.sorted_edges(raw(s, d)))
 query("g_bipartite", "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e")(supplier_part_edges)
@@ -169,47 +168,64 @@ def domains(s, d):
 
 # Samplers
 
-COMMON = "list_filter(c.nbrs, lambda x: x <> {prev} AND list_contains(p.nbrs, x))"
-PAIRS = """, pairs AS (SELECT p.src AS prev, p.nbrs AS pn, p.deg AS pd, c.src AS cur, c.nbrs AS cn, c.deg AS cd FROM (SELECT src, nbrs, deg, unnest(nbrs) AS v FROM adj WHERE src < 40) p JOIN adj c ON c.src = p.v),
+PAIRS = """, pairs AS (SELECT p.src AS prev, p.nbrs AS pn, p.deg AS pd, c.src AS cur, c.nbrs AS cn, c.deg AS cd FROM (SELECT src, nbrs, deg, unnest(nbrs) AS v FROM adj) p JOIN adj c ON c.src = p.v),
 steps AS (SELECT *, unnest(cn) AS next FROM pairs)"""
+#: All steps of the graph are the sum of its squared degrees; a row for each edge (prev, cur) sums up those that follow it.
+STEP_SUMS = "count(*) AS n_next, CAST(sum(w) AS BIGINT) AS w_sum, CAST(sum(w * next) AS BIGINT) AS w_next, round(max(w) / sum(w), 6) AS top_prob, round(sum(CAST(ratio AS DOUBLE)), 4) AS ratio_sum"
 
 
 def _transition_sql(w: str, ratio: str, more: str = "") -> str:
-    return ADJ + PAIRS + f", k AS (SELECT prev, cur, next, CAST({w} AS BIGINT) AS w, {ratio} AS ratio FROM steps {more}) SELECT prev, cur, next, w, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob, round(CAST(ratio AS DOUBLE), 6) AS ratio FROM k"
+    return ADJ + PAIRS + f", k AS (SELECT prev, cur, next, CAST({w} AS BIGINT) AS w, {ratio} AS ratio FROM steps {more}) SELECT prev, cur, {STEP_SUMS} FROM k GROUP BY prev, cur"
 
 
-def _transitions(kind: str, cfg: WalkConfig, whole: bool = False):
-    """Steps from the previous vertices that the SQL has, or from all."""
+def _transitions(kind: str, cfg: WalkConfig):
+    """The steps from all previous vertices, summed up by edge."""
     def f(s, d):
-        t = P.transitions(adj(s, d), kind, cfg, None if whole else s.range(40).toDF("v"))
-        return t.select("prev", "cur", "next", "w", F.round("prob", 6).alias("prob"), F.round("ratio", 6).alias("ratio"))
+        w = F.col("w")
+        sums = (F.count(F.lit(1)).alias("n_next"), F.sum(w).alias("w_sum"), F.sum(w * F.col("next")).alias("w_next"), F.round(F.max("prob"), 6).alias("top_prob"), F.round(F.sum("ratio"), 4).alias("ratio_sum"))
+        return P.transitions(adj(s, d), kind, cfg).groupBy("prev", "cur").agg(*sums)
 
     return f
 
 
-def _membership(prevs: DataFrame, a: DataFrame) -> DataFrame:
-    pairs = prevs.select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.explode("nbrs").alias("cur")).join(a.select(F.col("src").alias("cur"), F.col("nbrs").alias("cn")), "cur")
-    return pairs.select("prev", "cur", F.size(F.array_intersect("pn", "cn")).alias("n_common"))
-
-
 N2V_W = "CASE WHEN next = prev THEN 1 WHEN list_contains(pn, next) THEN 4 ELSE 16 END"
-query("s_n2v_transition", _transition_sql(N2V_W, "CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END"))(_transitions("node2vec", CFG))
+N2V_RATIO = "CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END"
+query("s_n2v_transition", _transition_sql(N2V_W, N2V_RATIO))(_transitions("node2vec", CFG))
 AR_W = "4 * pd + CASE WHEN list_contains(pn, next) THEN cd ELSE 0 END"
 query("s_ar_transition", _transition_sql(AR_W, "(CAST(0.8 AS DOUBLE) / cd + CASE WHEN list_contains(pn, next) THEN CAST(0.2 AS DOUBLE) / pd ELSE 0 END) / (CAST(0.8 AS DOUBLE) / cd + CAST(0.2 AS DOUBLE) / pd)"))(_transitions("ar", CFG))
-SIM = "len(list_intersect(pn, x.nbrs))"
-LINK_W = f"CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1 ELSE 0 END) ELSE {SIM} * 1048576 // (2 + pd + x.deg - {SIM}) END"
-query("s_linkscan_transition", _transition_sql(LINK_W, f"CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1.0 ELSE 0.0 END) ELSE CAST({SIM} AS DOUBLE) / (2 + pd + x.deg - {SIM}) END", "JOIN adj x ON x.src = next"))(_transitions("linkscan", CFG))
-query("s_acceptance", ADJ + PAIRS + " SELECT prev, cur, next, round(CAST(CASE WHEN next = prev THEN 0.0625 WHEN list_contains(pn, next) THEN 0.25 ELSE 1.0 END AS DOUBLE), 6) AS ratio FROM steps")(lambda s, d: _transitions("node2vec", CFG)(s, d).select("prev", "cur", "next", "ratio"))
+LINK_W = "CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1 ELSE 0 END) ELSE c * 1048576 // (2 + pd + x.deg - c) END"
+LINK_RATIO = "CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1.0 ELSE 0.0 END) ELSE CAST(c AS DOUBLE) / (2 + pd + x.deg - c) END"
+query("s_linkscan_transition", _transition_sql(LINK_W, LINK_RATIO, "JOIN (SELECT prev, next, count(*) AS c FROM steps GROUP BY prev, next) z USING (prev, next) JOIN adj x ON x.src = next"))(_transitions("linkscan", CFG))
+
+
+@query("s_acceptance", ADJ + PAIRS + f", k AS (SELECT prev, cur, CAST({N2V_RATIO} AS DOUBLE) AS ratio FROM steps) SELECT prev, cur, ratio, count(*) AS n_next FROM k GROUP BY prev, cur, ratio")
+def acceptance(s, d):
+    """How many next vertices each acceptance ratio holds for, by edge."""
+    return P.transitions(adj(s, d), "node2vec", CFG).groupBy("prev", "cur", "ratio").agg(F.count(F.lit(1)).alias("n_next"))
+
+
 query("s_uniform_neighbour", ADJ + f" SELECT src AS v, nbrs[1 + {u32_sql(str(SEED), 'src', '0')} % deg] AS next FROM adj")(lambda s, d: P.deepwalk(adj(s, d), WalkConfig(walk_length=1, seed=SEED)).where("step = 1").select(F.col("walk_id").alias("v"), F.col("vertex").alias("next")))
-query("s_membership", ADJ + PAIRS + " SELECT prev, cur, CAST(len(list_intersect(pn, cn)) AS INTEGER) AS n_common FROM pairs")(
-    lambda s, d: (lambda a: _membership(a.where("src < 40"), a))(adj(s, d)))
 
-# The same over the whole graph. No SQL is registered; a test holds them against the SQL above without its bound.
-query("s_n2v_transition_all")(_transitions("node2vec", CFG, whole=True))
-query("s_ar_transition_all")(_transitions("ar", CFG, whole=True))
-query("s_linkscan_transition_all")(_transitions("linkscan", CFG, whole=True))
-query("s_acceptance_all")(lambda s, d: _transitions("node2vec", CFG, whole=True)(s, d).select("prev", "cur", "next", "ratio"))
-query("s_membership_all")(lambda s, d: (lambda a: _membership(a, a))(adj(s, d)))
+
+@query("s_membership", ADJ + PAIRS + " SELECT prev, cur, CAST(len(list_intersect(pn, cn)) AS INTEGER) AS n_common FROM pairs")
+def membership(s, d):
+    a = adj(s, d)
+    pairs = a.select(F.col("src").alias("prev"), F.col("nbrs").alias("pn"), F.explode("nbrs").alias("cur")).join(a.select(F.col("src").alias("cur"), F.col("nbrs").alias("cn")), "cur")
+    return pairs.select("prev", "cur", F.size(F.array_intersect("pn", "cn")).alias("n_common"))
+
+
+#: Weights of no class: here the degrees of the neighbours. A draw for each vertex.
+WEIGHTED = f""", c AS (SELECT a.src, b.src AS x, b.deg AS w, sum(b.deg) OVER (PARTITION BY a.src ORDER BY b.src) AS upto, sum(b.deg) OVER (PARTITION BY a.src) AS total FROM (SELECT src, unnest(nbrs) AS v FROM adj) a JOIN adj b ON b.src = a.v)
+SELECT src AS v, min(x) AS next FROM c WHERE upto > ({u32_sql(str(SEED), 'src', "'w'")} * CAST(total AS BIGINT)) // 4294967296 GROUP BY src"""
+
+
+@query("s_weighted_neighbour", ADJ + WEIGHTED)
+def weighted_neighbour(s, d):
+    a = adj(s, d)
+    near = a.select("src", F.explode("nbrs").alias("x")).join(a.select(F.col("src").alias("x"), F.col("deg").cast("bigint").alias("w")), "x")
+    listed = near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("c"))
+    draw = below(u32(SEED, F.col("src"), "w"), F.aggregate("c", F.lit(0).cast("bigint"), lambda t, c: t + c["w"]))
+    return listed.withColumn("k", draw).select(F.col("src").alias("v"), P.pick_by_weight(F.col("c"), F.col("k")).alias("next"))
 
 
 # Walks. The SQL walks on as long as there is a next vertex; rows (wid, step, prev, cur).
@@ -282,25 +298,41 @@ FANOUT = [5, 3, 2]
 
 
 def _fanout_sql() -> str:
-    sql = ADJ + ", l0 AS (SELECT src AS root, CAST(0 AS BIGINT) AS ordinal, src AS vertex FROM adj WHERE src < 50)"
+    sql = ADJ + ", l0 AS (SELECT src AS root, CAST(0 AS BIGINT) AS ordinal, src AS vertex FROM adj)"
     for i, n in enumerate(FANOUT):
         sql += f", l{i + 1} AS (SELECT root, CAST(ordinal * {n} + j AS BIGINT) AS ordinal, nbrs[1 + {u32_sql(str(SEED), 'root', str(i), 'ordinal', 'j')} % deg] AS vertex FROM l{i} JOIN adj ON src = vertex, range({n}) t(j))"
     return sql + " UNION ALL".join(f" SELECT root, {i} AS level, ordinal, vertex FROM l{i}" for i in range(len(FANOUT) + 1))
 
 
-query("w_fanout", _fanout_sql())(lambda s, d: P.fanout(adj(s, d), s.range(50).toDF("source"), FANOUT, SEED))
-#: The reference's own fan-outs.
-FULL_FANOUT = [50, 20, 10, 5]
+@query("w_fanout", _fanout_sql())
+def fanout(s, d):
+    """The sampled neighbourhood of every vertex that has neighbours."""
+    a = adj(s, d)
+    return P.fanout(a, a.where("deg > 0").select(F.col("src").alias("source")), FANOUT, SEED)
 
 
-def fanout_of_all(s: SparkSession, d: str, sizes: list[int] = FULL_FANOUT) -> DataFrame:
-    """The neighbourhood of every vertex that has neighbours."""
-    a = adj(s, d)
-    return P.fanout(a, a.where("deg > 0").select(F.col("src").alias("source")), sizes, SEED)
+REPLICAS, ROOTS, BUDGET = 8, 5, 12
+
+
+def _frontier_sql() -> str:
+    """Step by step: the list of a replica, in the order of places, and its running degrees."""
+    slots = f"SELECT r AS replica, CAST(j AS BIGINT) AS place, src AS vertex, deg, nbrs FROM (SELECT r, j, {u32_sql(str(SEED), 'r', 'j', chr(39) + 'root' + chr(39))} % (SELECT count(*) FROM adj) AS n FROM range({REPLICAS}) a(r), range({ROOTS}) b(j)) z JOIN numbered USING (n)"
+    sql = ADJ + f", numbered AS (SELECT *, row_number() OVER (ORDER BY src) - 1 AS n FROM adj), f0 AS ({slots})"
+    for i in range(BUDGET - ROOTS):
+        k = f"({u32_sql(str(SEED), 'replica', str(i), '0')} * CAST(sum(deg) OVER (PARTITION BY replica) AS BIGINT)) // 4294967296"
+        sql += f""", r{i} AS (SELECT *, sum(deg) OVER (PARTITION BY replica ORDER BY place) AS upto, {k} AS k FROM f{i}),
+n{i} AS (SELECT replica, CAST({ROOTS + i} AS BIGINT) AS place, nbrs[1 + {u32_sql(str(SEED), 'replica', str(i), '1')} % deg] AS vertex FROM r{i} WHERE k < upto AND k >= upto - deg),
+f{i + 1} AS (SELECT replica, place, vertex, deg, nbrs FROM r{i} WHERE NOT (k < upto AND k >= upto - deg) UNION ALL SELECT replica, place, vertex, deg, nbrs FROM n{i} JOIN adj ON src = vertex)"""
+    return sql + " SELECT replica, place AS step, vertex FROM f0" + "".join(f" UNION ALL SELECT replica, place, vertex FROM n{i}" for i in range(BUDGET - ROOTS))
 
 
-query("w_fanout_all")(fanout_of_all)
-query("w_frontier")(lambda s, d: P.frontier_sample(adj(s, d), 8, 5, 12, SEED))
+query("w_frontier", _frontier_sql())(lambda s, d: P.frontier_sample(adj(s, d), REPLICAS, ROOTS, BUDGET, SEED))
+
+# The bipartite graph of suppliers and parts, whose suppliers are hubs.
+
+HUBS = """e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), und AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+adj AS (SELECT src, list(dst ORDER BY dst) AS nbrs, count(*) AS deg FROM und GROUP BY src)"""
+query("w_node2vec_hubs", _walk_sql(ALL, 4, N2V, graph=HUBS), True)(lambda s, d: _walks(P.node2vec(in_buckets(G.adjacency(supplier_part_edges(s, d)), "src"), WalkConfig(walk_length=3, p=CFG.p, q=CFG.q))))
 
 # Results
 
@@ -379,7 +411,118 @@ def _decision(lines: DataFrame, s, d):
 
 
 query("l_thresholds", THRESHOLDS + " SELECT block_id, round(ths, 6) AS ths FROM th")(lambda s, d: _thresholds(s, d).withColumn("ths", F.round("ths", 6)))
-query("l_decision", THRESHOLDS + ", wk AS (SELECT l_suppkey % 8 AS block_id, l_partkey % 100 AS nwalks, 100 AS nverts, l_linenumber = 4 AS resident FROM lineitem WHERE l_orderkey < 50) SELECT block_id, CASE WHEN ths > 0 AND nwalks < ths * nverts AND NOT resident THEN 'on_demand' ELSE 'full' END AS mode FROM wk JOIN th USING (block_id)")(
-    lambda s, d: _decision(table(s, d, "lineitem").where("l_orderkey < 50"), s, d))
-#: Every order line. No SQL is registered; a test holds it against the SQL above without its bound.
-query("l_decision_all")(lambda s, d: _decision(table(s, d, "lineitem"), s, d))
+WALKS = "l_suppkey % 8 AS block_id, l_partkey % 100 AS nwalks, 100 AS nverts, l_linenumber = 4 AS resident"
+MODE = "CASE WHEN ths > 0 AND nwalks < ths * nverts AND NOT resident THEN 'on_demand' ELSE 'full' END AS mode"
+query("l_decision", THRESHOLDS + f", wk AS (SELECT {WALKS} FROM lineitem) SELECT block_id, {MODE} FROM wk JOIN th USING (block_id)")(
+    lambda s, d: S.load_decision(table(s, d, "lineitem").selectExpr(*WALKS.split(", ")), _thresholds(s, d)))
+
+#: Thresholds by pairs of blocks: the block and a smaller one.
+PAIRED = "SELECT *, block_id % 3 AS other_block FROM ({log}) q WHERE block_id >= 3"
+PAIR_SQL = THRESHOLDS.replace(f"fl0 AS ({FULL})", f"fl0 AS ({PAIRED.format(log=FULL)})").replace(f"od0 AS ({DEMAND})", f"od0 AS ({PAIRED.format(log=DEMAND)})")
+
+
+def _pair_thresholds(s, d):
+    table(s, d, "lineitem").createOrReplaceTempView("meander_lineitem")
+    full, demand = (s.sql(PAIRED.format(log=x.replace("FROM lineitem", "FROM meander_lineitem"))) for x in (FULL, DEMAND))
+    return S.pair_thresholds(full, demand)
+
+
+query("l_pair_thresholds", PAIR_SQL + " SELECT block_id, block_id % 3 AS other_block, round(ths, 6) AS ths FROM th")(lambda s, d: _pair_thresholds(s, d).withColumn("ths", F.round("ths", 6)))
+query("l_pair_decision", PAIR_SQL + f", wk AS (SELECT {WALKS} FROM lineitem) SELECT block_id, block_id % 3 AS other_block, {MODE} FROM wk JOIN th USING (block_id)")(
+    lambda s, d: S.load_decision(table(s, d, "lineitem").selectExpr(*WALKS.split(", ")).where("block_id >= 3").withColumn("other_block", F.col("block_id") % 3), _pair_thresholds(s, d)))
+
+
+# Files: written to the shared folder and read back.
+
+def _file(s: SparkSession, write) -> str:
+    path = new_path(s)
+    write(path)
+    return path
+
+
+query("f_edge_file", UND + " SELECT src, dst FROM und")(lambda s, d: text.read_edges(s, _file(s, lambda p: sinks.write_edges(und(s, d), p, "\t"))))
+query("f_dense_ids", UND + SEEN + " SELECT old, new FROM ids")(lambda s, d: G.first_seen_ids(text.read_edges(s, _file(s, lambda p: sinks.write_edges(und(s, d), p)), numbered=True), "line"))
+query("f_starts_file", "z AS (SELECT o_custkey AS source, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) SELECT position, source FROM z WHERE position < 100")(
+    lambda s, d: text.read_starts(s, _file(s, lambda p: sinks.write_starts(table(s, d, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("source")), p)), 100))
+query("f_partition_file", f"z AS (SELECT p_partkey AS v FROM part), n AS (SELECT row_number() OVER (ORDER BY v) - 1 AS vertex, v % {N_BLOCKS} AS block_id FROM z) SELECT vertex, CAST(block_id AS INTEGER) AS block_id FROM n")(
+    lambda s, d: text.read_partition(s, _file(s, lambda p: sinks.write_partition(table(s, d, "part").select(F.col("p_partkey").alias("vertex"), (F.col("p_partkey") % N_BLOCKS).alias("block_id")), p))))
+query("f_threshold_file", THRESHOLDS + " SELECT row_number() OVER (ORDER BY block_id) - 1 AS line, round(ths, 6) AS value FROM th")(
+    lambda s, d: text.read_numbers(s, _file(s, lambda p: sinks.write_thresholds(_thresholds(s, d), p))).withColumn("value", F.round("value", 6)))
+query("f_pair_threshold_file", "z AS (SELECT a AS block_id, b AS other_block, a / 8 + b / 64 AS ths FROM range(8) x(a), range(8) y(b) WHERE b < a) SELECT CAST(block_id AS INTEGER) AS block_id, CAST(other_block AS INTEGER) AS other_block, ths FROM z")(
+    lambda s, d: text.read_pair_thresholds(s, _file(s, lambda p: sinks.write_pair_thresholds(s.range(8).toDF("block_id").join(s.range(8).toDF("other_block"), F.col("other_block") < F.col("block_id")).withColumn("ths", F.col("block_id") / 8 + F.col("other_block") / 64), p))))
+
+
+@query("f_block_range_file", ADJ + BLOCKS + " SELECT block_id, start_v, end_v FROM blocks", recursive=True)
+def block_range_file(s, d):
+    return text.read_block_starts(s, _file(s, lambda p: sinks.write_block_starts(blocks(adj(s, d)), p)))
+
+
+@query("f_facts", ADJ + " SELECT max(src) + 1 AS n_vertices, CAST(max(deg) AS BIGINT) AS max_deg FROM adj")
+def facts(s, d):
+    n, deg = new_path(s), new_path(s)
+    sinks.write_facts(adj(s, d), n, deg)
+    one, two = (text.read_numbers(s, p, "bigint") for p in (n, deg))
+    return one.join(two.withColumnRenamed("value", "max_deg"), "line").select(F.col("value").alias("n_vertices"), "max_deg")
+
+
+@query("f_adjacency_file", ADJ + " SELECT src, deg, array_to_string(nbrs, ',') AS nbrs_csv FROM adj")
+def adjacency_file(s, d):
+    return _csv(s.read.parquet(_file(s, lambda p: sinks.write_adjacency(G.adjacency(und(s, d)), p))))
+
+
+query("f_metis_file", "z AS (SELECT 1), " + ORACLE_SQL["g_metis_lines"].removeprefix("WITH "))(
+    lambda s, d: text.numbered_lines(s, _file(s, lambda p: sinks.write_metis(G.adjacency(und(s, d), G.vertex_count(und(s, d)).first()[0]), p)), keep_all=True).select(F.col("line").alias("line_no"), F.col("value").alias("line")))
+
+
+@query("f_block_log", B_SQL + PLACED + ", sz AS (SELECT block_id, count(*) AS nverts, CAST(sum(deg) AS BIGINT) AS nedges FROM blocks JOIN adj ON src >= start_v AND src < end_v GROUP BY ALL), ld AS (SELECT step, block_id, count(*) AS nwalks FROM pl GROUP BY ALL) SELECT block_id, nverts, nedges, nwalks, CAST(nedges / 1000 AS DOUBLE) AS load_time, CAST(nwalks / 1000 AS DOUBLE) AS exec_time FROM ld JOIN sz USING (block_id)", True)
+@_with_blocks
+def block_log(st, b, a):
+    """The loads of a run with times of a made-up disk: a thousand edges, or walks, a second."""
+    log = S.block_log(_walks(st), b, a).withColumns({"load_time": F.col("nedges") / 1000, "exec_time": F.col("nwalks") / 1000})
+    return text.read_block_log(a.sparkSession, _file(a.sparkSession, lambda p: sinks.write_block_log(log, p)))
+
+
+USED = ORACLE_SQL["r_activated"].removeprefix("WITH RECURSIVE ")
+
+
+def _use_log(how: str):
+    @_with_blocks
+    def f(st, b, a):
+        path = _file(a.sparkSession, lambda p: sinks.write_use_log(S.activated(_walks(st), b, a), p, how))
+        log = a.sparkSession.read.csv(path, header=True, inferSchema=True)
+        return log.toDF("io_num", "block_id", "block_type", "used", "total").withColumns({c: F.col(c).cast("bigint") for c in ("io_num", "block_id", "used", "total")})
+
+    return f
+
+
+def _use_sql(used: str, total: str) -> str:
+    head, last = USED.rsplit(" SELECT step, block_id, count(*) AS activated", 1)
+    return head + ", ac AS (SELECT step, block_id, count(*) AS activated" + last + f") SELECT row_number() OVER (ORDER BY step, block_id) - 1 AS io_num, CAST(block_id AS BIGINT) AS block_id, 'static-block' AS block_type, {used} AS used, {total} AS total FROM ac"
+
+
+query("f_edge_use_log", _use_sql("used_edges", "total_edges"), True)(_use_log("edges"))
+query("f_vertex_use_log", _use_sql("activated", "total_vertices"), True)(_use_log("vertices"))
+
+
+@query("f_metrics_files", "z AS (SELECT 1), m AS (" + STAT + ") SELECT 'csv' AS how, key, count, max FROM m UNION ALL SELECT 'json', key, count, max FROM m UNION ALL SELECT 'text', key, count, max FROM m")
+def metrics_files(s, d):
+    m = S.running_stats(table(s, d, "events"), "event_type", "value")
+    path = {how: _file(s, lambda p, how=how: sinks.write_metrics(m, p, how)) for how in ("csv", "json", "text")}
+    pairs = s.read.text(path["text"]).select(F.regexp_extract("value", "^(.*)\\.([a-z]+)=(.*)$", 1).alias("key"), F.regexp_extract("value", "^(.*)\\.([a-z]+)=(.*)$", 2).alias("c"), F.regexp_extract("value", "^(.*)\\.([a-z]+)=(.*)$", 3).alias("x"))
+    found = {"csv": s.read.csv(path["csv"], header=True), "json": s.read.json(path["json"]), "text": pairs.groupBy("key").pivot("c", ["count", "max"]).agg(F.first("x"))}
+    parts = [f.select(F.lit(how).alias("how"), "key", F.col("count").cast("bigint").alias("count"), F.col("max").cast("double").alias("max")) for how, f in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+#: Block sizes by the rule for a setting of 0, for some numbers of walks for each vertex.
+query("g_default_blocks", ADJ + ", n AS (SELECT max(src) + 1 AS v FROM adj) SELECT r AS walks_per_vertex, CAST(pow(2, 10 + length(CAST(v * r AS VARCHAR))) AS BIGINT) AS blocksize_kb, CAST(pow(2, 10 + length(CAST(v * r AS VARCHAR))) AS BIGINT) * 256 AS capacity FROM n, (VALUES (1), (10), (1000)) t(r)")(
+    lambda s, d: (lambda v: s.createDataFrame([(r, (kb := G.default_block_kb(v, r)), G.capacity_of(kb)) for r in (1, 10, 1000)], "walks_per_vertex int, blocksize_kb long, capacity long"))(G.vertex_count(raw(s, d)).first()[0]))
+
+
+@query("r_choose_block", B_SQL + f", la AS (SELECT walk_id, arg_max(vertex, step) AS vertex, max(step) AS hop FROM st GROUP BY walk_id), pb AS (SELECT block_id, count(*) AS n, min(hop) AS hop FROM la JOIN blocks ON vertex >= start_v AND vertex < end_v GROUP BY ALL), dr AS (SELECT i, {u32_sql(str(SEED), 'i', chr(39) + 'block' + chr(39))} / 4294967296 AS u FROM range(16) t(i)) SELECT CAST(i AS INTEGER) AS i, CASE WHEN u < 0.2 THEN (SELECT block_id FROM pb ORDER BY hop, block_id LIMIT 1) ELSE (SELECT block_id FROM pb ORDER BY n DESC, block_id LIMIT 1) END AS block_id FROM dr", True)
+@_with_blocks
+def choose_block(st, b, a):
+    """Sixteen draws of the choice, one for each number."""
+    walks = written(_walks(st))
+    draws = [S.choose_block(walks, b, 0.2, u32(SEED, i, "block") / F.lit(1 << 32)).select(F.lit(i).alias("i"), "block_id") for i in range(16)]
+    return reduce(DataFrame.union, draws)
