@@ -8,15 +8,17 @@ ones keep the arrays of a block, some tens of times its bytes, out of an executo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 BLOCK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
@@ -32,6 +34,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _LOW = 12
+_letters: list[np.ndarray] = []
+
+
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 2 for a letter, 1 for a mark, 0 for the rest; and its lower case if that is one code point."""
+    if not _letters:
+        kind = np.zeros(0x110000, np.int8)
+        lower = np.arange(0x110000, dtype=np.uint32)
+        # Of the planes beyond the third one, 0xE has marks (variation selectors) and no letters, the others have neither.
+        for c in chain(range(0x40000), range(0xE0000, 0xE1000)):
+            ch = chr(c)
+            kind[c] = {"L": 2, "M": 1}.get(unicodedata.category(ch)[0], 0)
+            if kind[c] and len(low := ch.lower()) == 1:
+                lower[c] = ord(low)
+        _letters.extend((kind, lower))
+    return _letters[0], _letters[1]
+
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -149,23 +168,6 @@ def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(counts), [None, pa.py_buffer(off.astype(wide)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint folder of the session; a local one only if none is set."""
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meander-"))
-        where = sc.getCheckpointDir()
-    return where
-
-
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/meander-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) for the nodes of links (a, b): component is the smallest node reachable.
 
