@@ -1,62 +1,47 @@
 """Language identification: words first, then character n-grams.
 
-A model holds log frequencies by language of the most frequent words and of character n-grams from 5 down to 1. A word that it
-knows scores by the word's frequency in each language; a word that it does not know scores by the longest n-grams of
+A model holds log frequencies by language of the words and of the character n-grams from 5 down to 1 that its labelled rows have twice or
+more. A word that it knows scores by the word's frequency in each language; a word that it does not know scores by the longest n-grams of
 which it knows any, the mean of those. A text's language has the largest sum over its words; the score is its posterior
 probability under equal priors.
 
-Words are runs of letters, lower case, with their boundaries taken into the n-grams.
+Words are runs of letters and marks with a letter, lower case, with their boundaries taken into the n-grams.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, _high_powers, _ipow_low, _pow_low, mix, text_blocks
+from .common import PLACE, _high_powers, _ipow_low, _pow_low, letters, mix, text_blocks
 
-#: Labelled rows from which a model is fitted, in expectation; with fewer, all of them.
+#: Labelled rows from which a model is fitted, in expectation; with fewer, all of them. This bounds the model's tables.
 SAMPLE_ROWS = 40_000
-#: Words, and n-grams of each length, that a model keeps: the most frequent.
-MODEL_ENTRIES = 100_000
+#: Words and n-grams that the labelled rows have less often stay out of the tables; 1 keeps all.
+LEAST_COUNT = 2
 LONGEST = 5
 SMOOTH = 0.5
 
-_tables: list[np.ndarray] = []
-
-
-def letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter (or a mark), and its lower case if that is one code point."""
-    if not _tables:
-        known = 0x32000  # planes beyond have no letters
-        letter = np.zeros(0x110000, bool)
-        lower = np.arange(0x110000, dtype=np.uint32)
-        for c in range(known):
-            ch = chr(c)
-            if unicodedata.category(ch)[0] in "LM":
-                letter[c] = True
-                if len(low := ch.lower()) == 1:
-                    lower[c] = ord(low)
-        _tables.extend((letter, lower))
-    return _tables[0], _tables[1]
-
 
 class Words:
     """The words of some texts as code points; every text stands between two boundaries."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
-        letter, lower = letter_tables()
+        kind, lower = letters()
         raw, cut = data.tobytes(), off.tolist()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
         cps = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(t) for t in texts], np.int64)
-        inside = letter[cps]
+        of = kind[cps]
+        inside = of > 0
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edge[::2], edge[1::2]
+        if (of == 1).any():  # a run of marks alone is no word
+            full = np.concatenate([[0], np.cumsum(of == 2)])
+            some = full[self.end] > full[self.start]
+            self.start, self.end = self.start[some], self.end[some]
         self.first = np.searchsorted(self.start, np.concatenate([[1], 1 + np.cumsum(size + 1)]))
         codes = mix(np.where(inside, lower[cps], 0).astype(np.uint64) + np.uint64(1))
         n, high = len(codes), _high_powers(len(codes))[0]
@@ -139,37 +124,41 @@ def _counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
+                found: list[list] = [[] for _ in range(LONGEST + 1)]
                 for _, _, data, off in text_blocks(batch.column(0).filter(pa.array(langs == lang))):
                     w = Words(data, off)
                     for n in range(LONGEST + 1):
-                        h, c = np.unique(w.grams(np.arange(len(w.start)), n)[0] if n else w.hash(w.start, w.end), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array([lang] * len(h), pa.string()), pa.array(c.astype(np.int64))], ["n", "hash", "lang", "count"])
+                        found[n].append(np.unique(w.grams(np.arange(len(w.start)), n)[0] if n else w.hash(w.start, w.end), return_counts=True))
+                for n, parts in enumerate(found):
+                    h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                    c = np.bincount(at, np.concatenate([y for _, y in parts]), minlength=len(h))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array([lang] * len(h), pa.string()), pa.array(c.astype(np.int64))], ["n", "hash", "lang", "count"])
+
+    return rows.select("text", "lang").mapInArrow(run, "n int, hash long, lang string, count long")
 
-    return rows.select("text", "lang").mapInArrow(run, "n int, hash long, lang string, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
 
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> Model:
+    """A model from labelled rows: about sample_rows of them, chosen by a hash of their key. Rows without text or label do not count.
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, entries: int = MODEL_ENTRIES) -> Model:
-    """A model from labelled rows: about sample_rows of them, chosen by a hash of their key. Rows without text or label do not count."""
-    rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    total = rows.count()
+    The driver gets one table: a row of counts by language for each word and n-gram that occurs least_count times; the
+    sample bounds it. No labelled row gives a model without languages.
+    """
+    rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs, total = sorted(sizes), sum(sizes.values())
     if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key_col)), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / total)))
-    counted = _counts(rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
-    found = counted.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by")).persist()
-    kept = [(n, r.hash, r.by) for n in range(LONGEST + 1) for r in found.where(F.col("n") == n).orderBy(F.desc("total"), "hash").limit(entries).toLocalIterator()]
-    found.unpersist()
-    langs = sorted({x.lang for _, _, by in kept for x in by})
-    place = {x: i for i, x in enumerate(langs)}
-    tables = {}
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / total)))
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
+    if not langs:
+        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in range(LONGEST + 1)})
+    found = _counts(rows).groupBy("n", "hash").agg(F.sum("count").alias("total"), *by_lang).where(F.col("total") >= least_count).drop("total").toArrow()
+    kind, tables = found.column("n").to_numpy(), {}
+    keys, count = found.column("hash").to_numpy().view(np.uint64), np.stack([found.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1)
     for n in range(LONGEST + 1):
-        own = [(h, by) for m, h, by in kept if m == n]
-        keys = np.array([h for h, _ in own], np.int64).view(np.uint64)
-        count = np.full((len(own), len(langs)), SMOOTH)
-        for i, (_, by) in enumerate(own):
-            for x in by:
-                count[i, place[x.lang]] += x["count"]
-        order = np.argsort(keys)
-        tables[n] = keys[order], np.log(count / np.maximum(count.sum(axis=0, keepdims=True), 1e-9))[order]
+        own = np.flatnonzero(kind == n)
+        own = own[np.argsort(keys[own])]
+        c = count[own] + SMOOTH
+        tables[n] = keys[own], np.log(c / np.maximum(c.sum(axis=0, keepdims=True), 1e-9)).astype(np.float32)
     return Model(langs, tables)
 
 
