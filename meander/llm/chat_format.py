@@ -85,7 +85,11 @@ def fingerprint(record: Column, kind: T.StructType) -> Column:
 
 
 def canonical(df: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """df with fingerprint, layout (null: unknown) and turns (array of role and text; null: unknown). A null text is empty."""
+    """df with fingerprint, layout (null: unknown) and turns (array of role and text; null: unknown). A null text is empty.
+
+    A null record or one without fields is unknown; equal records give equal turns. Columns of df with these three names are
+    replaced, all others stay; an empty table gives an empty result.
+    """
     df = df.withColumn("fingerprint", fingerprint(F.col(record_col), df.schema[record_col].dataType))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     names = df.schema[record_col].dataType.names
@@ -111,7 +115,11 @@ def _header(role: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns_col: str = "turns", learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """df with formatted (string) and loss_runs (array of skip and take, two for each turn); null turns give nulls."""
+    """df with formatted (string) and loss_runs (array of skip and take, two for each turn); null turns give nulls.
+
+    No turns give an empty text and mask; repeated turns stay. Columns of df with these two names are replaced, all others stay; an
+    empty table gives an empty result.
+    """
     end = len(END)
 
     def runs(t: Column) -> Column:
@@ -150,11 +158,51 @@ def from_rows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return listed.select("conv", F.struct(message.alias("messages")).alias("record"))
 
 
-def chats(df: DataFrame, **columns: str) -> DataFrame:
-    """(conv, layout, turns, formatted, loss_runs) of a table with a row for each turn. An empty table gives an empty result."""
-    return format_turns(canonical(from_rows(df, **columns))).select("conv", "layout", "turns", "formatted", "loss_runs")
+def by_shape(df: DataFrame) -> DataFrame:
+    """Message lists (conv, record) as records of the wide struct, each in the layout that holds its turns and no more.
+
+    One question and its answer: question and answer if the question ends with a question mark, else prompt and response; with a system
+    text before them: instruction and output, or prompt and completion if the answer has several lines; longer talks of
+    user and assistant, and of those with a system text before: from/value lists; any other list stays as it is.
+    """
+    m = F.col("record")["messages"]
+    roles, text = F.transform(m, lambda x: F.coalesce(x["role"], F.lit(""))), lambda i: F.coalesce(F.get(m, F.lit(i))["content"], F.lit(""))
+    system = F.get(roles, F.lit(0)) == "system"
+    talk = F.slice(m, 1 + system.cast("int"), F.greatest(F.size(m), F.lit(1)))
+    spoken = (F.size(talk) > 0) & F.forall(talk, lambda x: F.coalesce(x["role"].isin("user", "assistant"), F.lit(False)))
+    pair = F.array_join(F.transform(talk, lambda x: F.coalesce(x["role"], F.lit(""))), ",") == "user,assistant"
+    layout = (
+        F.when(pair & ~system & text(0).endswith("?"), "question_answer").when(pair & ~system, "prompt_response")
+        .when(pair & F.contains(text(2), F.lit("\n")), "prompt_completion").when(pair, "instruction")
+        .when(spoken, "from_value").otherwise("messages")
+    )
+    x = df.select("conv", "record", layout.alias("layout"), F.when(system, text(0)).alias("system"), F.when(system, text(1)).otherwise(text(0)).alias("asked"), F.when(system, text(2)).otherwise(text(1)).alias("said"), talk.alias("talk"))
+
+    def only(name: str, value: Column | str) -> Column:
+        return F.when(F.col("layout") == name, value)
+
+    said_as = F.transform("talk", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), F.coalesce(t["content"], F.lit("")).alias("value")))
+    fields = {
+        "messages": only("messages", F.col("record")["messages"]), "conversations": only("from_value", said_as), "system": F.when(F.col("layout") != "messages", F.col("system")),
+        "instruction": only("instruction", F.col("asked")), "input": F.lit(None).cast("string"), "output": only("instruction", F.col("said")),
+        "prompt": F.coalesce(only("prompt_response", F.col("asked")), only("prompt_completion", F.col("asked"))), "response": only("prompt_response", F.col("said")), "completion": only("prompt_completion", F.col("said")),
+        "question": only("question_answer", F.col("asked")), "answer": only("question_answer", F.col("said")),
+    }
+    return x.select("conv", F.struct(*(v.alias(k) for k, v in fields.items())).cast(RECORD).alias("record"))
+
+
+def chats(df: DataFrame, shape: Callable[[DataFrame], DataFrame] | None = None, **columns: str) -> DataFrame:
+    """(conv, layout, turns, formatted, loss_runs) of a table with a row for each turn; shape may turn the records (conv, record) into other layouts.
+
+    An empty table gives an empty result.
+    """
+    listed = from_rows(df, **columns)
+    return format_turns(canonical(shape(listed) if shape else listed)).select("conv", "layout", "turns", "formatted", "loss_runs")
 
 
 def records(df: DataFrame, json_col: str) -> DataFrame:
-    """df with record: the JSON text of each row read as the wide struct. Text that is no JSON object has no field: unknown."""
+    """df with record: the JSON text of each row read as the wide struct. Text that is no JSON object, or null, has no field: unknown.
+
+    Other columns stay; one named record is replaced. Equal rows give equal records; an empty table gives an empty result.
+    """
     return df.withColumn("record", F.from_json(F.col(json_col), RECORD))

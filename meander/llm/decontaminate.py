@@ -167,7 +167,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of df that leak no item, with all their columns, without a shuffle."""
+    """The rows of df that leak no item, with all their columns, without a shuffle.
+
+    Rows with a null or empty text stay; rows with null or repeated ids and repeated rows are judged each. Columns of any name pass
+    through; an empty benchmark keeps every row, an empty table gives an empty result.
+    """
     place = df.columns.index(text_col)
     for index in _blocks(benchmark, item_col, item_text_col):
         sent = df.sparkSession.sparkContext.broadcast(index)

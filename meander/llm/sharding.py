@@ -50,7 +50,11 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def with_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id") -> DataFrame:
-    """df with _key, shard and grown_shard (with one shard more); no shuffle."""
+    """df with _key, shard and grown_shard (with one shard more); no shuffle.
+
+    Null ids share one key; repeated ids, whatever their texts, share a shard. Columns of df with these three names are replaced, all
+    others stay; an empty table gives an empty result.
+    """
     keyed = df.withColumn("_key", key_hex(F.col(id_col)))
     return keyed.withColumn("shard", shard_of(F.col("_key"), shards)).withColumn("grown_shard", shard_of(F.col("_key"), shards + 1))
 
