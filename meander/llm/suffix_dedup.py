@@ -16,8 +16,10 @@ without sending every suffix around:
 4. the rest     An anchor with more than CROWD undecided contexts (say, the border of a passage that very many documents share) is
               not given to one task: each window of its contexts is a key of its own that meets its equals by aggregation.
 
-Texts travel twice, compressed in blocks: for the contexts and for the result. Contexts
-are equal if 48 bits of their hashes are, besides the anchor's 32 and its part's. Step 2 holds the hashes (not the bytes) of one anchor's different contexts in one task.
+Texts travel twice, compressed in blocks: for the contexts and for the result. Contexts of an anchor are equal if 64 bits of their
+hashes are, besides the anchor's own 32 bits and its part: among 10 million contexts of one anchor a wrong equality has a chance of
+3 in a million. Parts are dealt by bits of the anchor's hash mixed anew, since an anchor, the smallest hash of its window, has small
+high bits. Step 2 holds the hashes (not the bytes) of one anchor's different contexts in one task.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def anchors(data: np.ndarray, off: np.ndarray):
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
     doc = np.searchsorted(off, place, "right") - 1
     begin, end = np.maximum(off[doc], place - SPAN + 1), np.minimum(off[doc + 1], place + WIDTH)
-    context = mix(prefix.of(begin, end) + (place - begin).astype(np.uint64)) >> np.uint64(16)
+    context = mix(prefix.of(begin, end) + (place - begin).astype(np.uint64))
     return place, doc, begin, end, h[place], context, prefix
 
 
@@ -95,14 +97,12 @@ def _packed(doc, key, context, flag) -> tuple:
     doc, key, context, flag = doc[order], key[order], context[order], flag[order]
     names, index = np.unique(doc, return_inverse=True)
     names = names.view(np.uint64)
-    return len(doc), len(names), _planes(np.diff(names, prepend=np.uint64(0)), 8), _planes(index, 4), _planes(np.diff(key, prepend=np.uint64(0)), 4), context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), flag.tobytes()
+    return len(doc), len(names), _planes(np.diff(names, prepend=np.uint64(0)), 8), _planes(index, 4), _planes(np.diff(key, prepend=np.uint64(0)), 4), context.astype("<u8").tobytes(), flag.tobytes()
 
 
 def _unpacked(n, k, names, index, key, context, flag):
     names = np.cumsum(_from_planes(names, k, 8)).view(np.int64)
-    whole = np.zeros((n, 8), np.uint8)
-    whole[:, :6] = np.frombuffer(context, np.uint8).reshape(n, 6)
-    return names[_from_planes(index, n, 4).astype(np.int64)], np.cumsum(_from_planes(key, n, 4)), whole.view("<u8").ravel(), np.frombuffer(flag, np.uint8)
+    return names[_from_planes(index, n, 4).astype(np.int64)], np.cumsum(_from_planes(key, n, 4)), np.frombuffer(context, "<u8"), np.frombuffer(flag, np.uint8)
 
 
 _FIELDS = ("n", "k", "names", "idx", "key", "context", "flag")
@@ -127,6 +127,10 @@ def _sent(dest: np.ndarray, settled: bool, doc, key, context, flag):
         yield (int(dest[i[0]]), settled, *_packed(doc[i], key[i], context[i], flag[i]))
 
 
+def part_of_key(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(parts)).astype(np.int64)
 
@@ -155,7 +159,7 @@ def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
             first = np.concatenate([[True], ~same])
             fresh = np.concatenate([[True], ~(same & (doc[1:] == doc[:-1]))])
             late = fresh & (doc > doc[first][np.cumsum(first) - 1])
-            yield from _sent((key[first] >> np.uint64(32)).astype(np.int64) * parts >> 32, False, doc[first], key[first], context[first], np.zeros(first.sum(), np.uint8))
+            yield from _sent(part_of_key(key[first], parts), False, doc[first], key[first], context[first], np.zeros(first.sum(), np.uint8))
             yield from _sent(part_of(doc[late], parts), True, doc[late], key[late], context[late], np.ones(late.sum(), np.uint8))
 
     return docs.select("id", "text").mapInArrow(run, _PACKED)
