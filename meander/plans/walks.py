@@ -8,7 +8,7 @@ next step. Every few steps the frontier is written; the same table gives the row
 that have ended keep an id that joins with nothing; a run ends early when all have.
 
 A few walks (on_demand_walks) do not read the whole graph: each step fetches the lists of the vertices that they stand on, by id, and so
-only the buckets that hold them.
+only the buckets that hold them. Their number is checked before.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,22 +44,15 @@ def _pick(list_: Column, i: Column) -> Column:
     return F.get(list_, i.cast("int"))
 
 
-def _run(frontier: DataFrame, adj: DataFrame, step: Step, steps: int, segment: int, second_order: bool = False, few: bool = False) -> DataFrame:
-    """Rows (walk_id, step, vertex) of a frontier moved on by that many steps, or until no walk goes on.
-
-    few: the walks are known to be few; their vertices go to the driver in each step, and the lists of these are fetched.
-    """
+def _run(frontier: DataFrame, adj: DataFrame, step: Step, steps: int, segment: int, second_order: bool = False) -> DataFrame:
+    """Rows (walk_id, step, vertex) of a frontier moved on by that many steps, or until no walk goes on."""
     parts, at = [], 0
     while True:
-        now = min(1 if few else segment, steps - at)
-        near = adj
-        if few:
-            ids = frontier.where("not done").select(F.explode(F.array_compact(F.array("cur", "prev")))).distinct().collect()
-            near = adj.where(F.col("src").isin([r[0] for r in ids]))
         if second_order and at:
-            frontier = _at(frontier, near, "prev", "pn")
+            frontier = _at(frontier, adj, "prev", "pn")
+        now = min(segment, steps - at)
         for i in range(now):
-            frontier = step(frontier, at + i, near)
+            frontier = step(frontier, at + i, adj)
         at += now
         frontier = written(frontier.select(*STATE))
         parts.append(frontier.select("walk_id", "base", F.posexplode("trail").alias("i", "vertex")).select("walk_id", (F.col("base") + F.col("i")).alias("step"), "vertex"))
@@ -67,6 +61,23 @@ def _run(frontier: DataFrame, adj: DataFrame, step: Step, steps: int, segment: i
             return reduce(DataFrame.union, parts)
 
 
+def _run_few(frontier: DataFrame, adj: DataFrame, step: Step, steps: int, second_order: bool = False) -> DataFrame:
+    """The same for walks that are known to be few: they stay with the driver, and a step fetches the lists of their vertices by id."""
+    spark, shape = adj.sparkSession, frontier.select(*STATE).schema
+    rows = frontier.select(*STATE).toArrow()
+    for i in range(steps):
+        going = rows.filter(pc.invert(rows.column("done")))
+        ids = {v for c in ("cur", "prev") for v in going.column(c).to_pylist()} - {None}
+        if not ids:
+            break
+        near = adj.where(F.col("src").isin(sorted(ids)))
+        df = spark.createDataFrame(rows, shape)
+        if second_order and i:
+            df = _at(df, near, "prev", "pn")
+        rows = step(df, i, near).select(*STATE).toArrow()
+    return spark.createDataFrame(rows, shape).select("walk_id", F.posexplode("trail").alias("step", "vertex"))
+
+
 def _frontier(starts: DataFrame) -> DataFrame:
     return starts.select("walk_id", F.lit(None).cast("bigint").alias("prev"), F.col("source").alias("cur"), F.lit(False).alias("done"), F.array("source").alias("trail"), F.lit(0).alias("base"))
 
@@ -103,20 +114,25 @@ def _uniform_step(cfg: WalkConfig) -> Step:
 def choose_by_class(df: DataFrame, u: Column, w: weights.Classes) -> DataFrame:
     """df with _new: the neighbour in _n that the draw u falls on, for walks at cur from prev with neighbours pn.
 
-    Return vertex, common neighbours in order, the others in order. Each array is made once, in a column of its own.
+    Return vertex, common neighbours in order, the others in order. Each array is made once, in a column of its own; without common
+    neighbours the others need none: their places are those of _n but the return vertex's.
     """
     # try_divide would make doubles: integer division of non-negative numbers.
     def div(a: Column, b: Column) -> Column:
         return F.floor(a / F.greatest(b, F.lit(1)))
 
     common, other = F.array_except(F.array_intersect("_n", "pn"), F.array("prev")), F.array_except(F.array_except("_n", F.coalesce("pn", F.array().cast("array<bigint>"))), F.array("prev"))
+    place = F.col("_place") + ((F.col("_at") > 0) & (F.col("_place") >= F.col("_at") - 1)).cast("int")
     df = df.withColumn("_common", F.coalesce(common, F.array().cast("array<bigint>")))
-    back = F.array_contains("_n", F.col("prev"))
+    back = F.col("_at") > 0
+    df = df.withColumn("_at", F.coalesce(F.array_position("_n", F.col("prev")), F.lit(0)))
     df = df.select("*", F.when(back, w.back).otherwise(F.lit(0)).alias("_b"), w.common.alias("_wc"), w.other.alias("_wo"), (F.size("_n") - F.size("_common") - back.cast("int")).alias("_rest"))
     df = df.withColumn("_some", F.col("_b") + F.size("_common") * F.col("_wc"))
     df = df.withColumn("_draw", below(u, F.col("_some") + F.col("_rest") * F.col("_wo")))
     new = F.when(F.col("_draw") < F.col("_b"), F.col("prev")).when(F.col("_draw") < F.col("_some"), _pick(F.col("_common"), div(F.col("_draw") - F.col("_b"), F.col("_wc"))))
-    return df.withColumn("_new", F.when(F.size("_n") > 0, new.otherwise(_pick(other, div(F.col("_draw") - F.col("_some"), F.col("_wo"))))))
+    df = df.withColumn("_place", div(F.col("_draw") - F.col("_some"), F.col("_wo")))
+    new = new.when(F.size("_common") == 0, _pick(F.col("_n"), place)).otherwise(_pick(other, F.col("_place")))
+    return df.withColumn("_new", F.when(F.size("_n") > 0, new))
 
 
 def _class_step(cfg: WalkConfig, weigh: Weigh, stop: Callable[[int], Column] | None = None) -> Step:
@@ -153,14 +169,18 @@ def _few(cfg: WalkConfig, who: DataFrame, starts: DataFrame | None) -> bool:
 def deepwalk(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """First-order walks of at most walk_length edges; a sink ends one. vertices (v): also those without neighbours start."""
     who = _starts(adj if vertices is None else vertices.select(F.col("v").alias("src")), cfg, starts)
-    return _run(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length, cfg.segment, few=_few(cfg, who, starts))
+    if _few(cfg, who, starts):
+        return _run_few(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length)
+    return _run(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length, cfg.segment)
 
 
 def _second_order(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, starts: DataFrame | None, edges: int, stop=None) -> DataFrame:
     who = _starts(adj.where("deg > 0"), cfg, starts)
     if starts is not None:
         who = who.join(adj.where("deg > 0").select(F.col("src").alias("source")), "source", "left_semi").select("walk_id", "source")
-    return _run(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, cfg.segment, second_order=True, few=_few(cfg, who, starts))
+    if _few(cfg, who, starts):
+        return _run_few(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, second_order=True)
+    return _run(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, cfg.segment, second_order=True)
 
 
 def node2vec(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:
