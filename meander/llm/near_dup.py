@@ -32,6 +32,8 @@ ROWS = 6
 LOG_B = np.log(1.001)
 TOP = 65535
 TILE = 256
+#: Pairs that are estimated together.
+PAIRS = 1 << 13
 #: Pairs whose estimate is this much (in standard errors of a register comparison at the threshold) under it are not verified.
 ERRORS = 5.0
 
@@ -140,12 +142,46 @@ def _pairs_likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
 
 
+def _group_pairs(edges: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int):
+    """Places (i, j) in stretches of about PAIRS pairs: those of each group edges[k] .. edges[k+1] whose sizes and components allow a link."""
+    out, size = [], 0
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = np.arange(a, z)
+        left, right = (own, own) if p[a] == q[a] else (own[part[a:z] == p[a]], own[part[a:z] == q[a]])
+        fits = (comp[left][:, None] != comp[right]) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right]))
+        i, j = np.nonzero(np.triu(fits, 1) if p[a] == q[a] else fits)
+        for at in range(0, len(i), PAIRS):
+            out.append((left[i[at : at + PAIRS]], right[j[at : at + PAIRS]]))
+            size += len(out[-1][0])
+            if size >= PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                out, size = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _may_reach(i: np.ndarray, j: np.ndarray, n: np.ndarray, low: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether the pairs' intersections can be large enough, by the 16-bit hashes of their sets."""
+    ok, flags = np.zeros(len(i), bool), np.zeros(1 << 16, bool)
+    order = np.argsort(i, kind="stable")
+    at = None
+    for k in order.tolist():
+        if i[k] != at:
+            if at is not None:
+                flags[low[at]] = False
+            at = i[k]
+            flags[low[at]] = True
+        both = int(np.count_nonzero(flags[low[j[k]]])) + min(n[at] - len(low[at]), n[j[k]] - len(low[j[k]]))
+        ok[k] = 100 * both >= percent * (n[at] + n[j[k]] - both)
+    return ok
+
+
 def _in_tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
     """Likely pairs (a, b) of members (key, band, id, comp, n, n_shingles, regs, low) of one bucket in different components.
 
-    A bucket of n members is cut into n / TILE parts; each pair of parts is one group of at most a few TILE rows. low: the
-    distinct 16-bit hashes of a set. No more elements can be common than low hashes are, and those that one set lost by
-    collisions.
+    A bucket of n members is cut into n / TILE parts; each pair of parts is one group of at most a few TILE rows. Groups stand in
+    order in a task, and the pairs of many small ones are estimated together. low: the distinct 16-bit hashes of a set. No more
+    elements can be common than low hashes are, and those that one set lost by collisions.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
     dealt = (
@@ -154,32 +190,40 @@ def _in_tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
         .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "band", "id", "comp", "n_shingles", "regs", "low")
     )
 
-    def run(_, table):
-        ids, comp, n, part = (table.column(c).to_numpy() for c in ("id", "comp", "n_shingles", "part"))
-        p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key, p, q, part, band, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "part", "band", "id", "comp", "n_shingles"))
         regs = _matrix(table.column("regs"), REGISTERS, np.uint16)
-        flags = np.zeros((len(ids), 1 << 16), bool)
-        lost = n.copy()
-        for i, x in enumerate(table.column("low").to_pylist()):
-            low = np.frombuffer(x, np.uint16)
-            flags[i, low] = True
-            lost[i] -= len(low)
-        bits = np.packbits(flags, axis=1).view(np.uint64)
-        del flags
+        low = [np.frombuffer(x, np.uint16) for x in table.column("low").to_pylist()]
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(part == p):
-            j = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if p == q else (part == q)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if band and len(j):  # pairs that an earlier band joins have met there
-                j = j[~(regs[j, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
-            if len(j):
-                j = j[_likely(np.broadcast_to(n[i], len(j)), n[j], regs[i][None, :], regs[j], least)]
-                both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(lost[j], lost[i])
-                j = j[100 * both >= percent * (n[i] + n[j] - both)]
-                a_out.append(np.minimum(ids[i], ids[j]))
-                b_out.append(np.maximum(ids[i], ids[j]))
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
-
-    return dealt.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+        for i, j in _group_pairs(edges, part, p, q, n, comp, percent):
+            # Pairs that an earlier band joins have met there.
+            joined = (regs[i] == regs[j]).reshape(len(i), -1, ROWS).all(axis=2)
+            first = np.where(joined.any(axis=1), joined.argmax(axis=1), joined.shape[1]) >= band[i]
+            i, j = i[first], j[first]
+            if len(i):
+                ok = _likely(n[i], n[j], regs[i], regs[j], least)
+                i, j = i[ok], j[ok]
+                ok = _may_reach(i, j, n, low, percent)
+                a_out.append(np.minimum(ids[i[ok]], ids[j[ok]]))
+                b_out.append(np.maximum(ids[i[ok]], ids[j[ok]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+
+    def run(batches):
+        open_ = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if open_ is None else [*open_.to_batches(), batch])
+            group = [table.column(c).to_numpy() for c in ("key", "p", "q")]
+            same = np.logical_and.reduce([g == g[-1] for g in group]) if len(table) else np.zeros(0, bool)
+            whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on in the next batch
+            if whole:
+                yield pairs(table.slice(0, whole))
+            open_ = table.slice(whole)
+        if open_ is not None and len(open_):
+            yield pairs(open_)
+
+    order = ["key", "p", "q"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
