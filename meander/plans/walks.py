@@ -7,6 +7,11 @@ vertex, common neighbours and others are classes with a weight each. The neighbo
 next step. Every few steps the frontier is written; the same table gives the rows (walk_id, step, vertex) and cuts the lineage. Walks
 that have ended keep an id that joins with nothing; a run ends early when all have.
 
+No list of more than hub_degree neighbours travels with a walk. Such a vertex has a row for each neighbour instead, by place: a uniform
+step looks one place up, and a second-order step from or after a hub draws some candidates by place, looks up whether they are
+neighbours of the previous vertex too, and takes the first that passes the acceptance ratio; walks without one draw again. Keys of these
+lookups are single edges, so the edges and the walks of a hub lie in all tasks.
+
 A few walks (on_demand_walks) do not read the whole graph: each step fetches the lists of the vertices that they stand on, by id, and so
 only the buckets that hold them. Their number is checked before.
 """
@@ -23,13 +28,17 @@ from pyspark.sql.window import Window as W
 
 from ..functions import weights
 from ..functions.rng import below, u32
-from ..sources.tables import written
+from ..sources.tables import in_buckets, written
 from .config import WalkConfig
 
 Weigh = Callable[[WalkConfig, Column, Column], weights.Classes]
 #: From a frontier, the number of the step and the adjacency rows that it may need to the next frontier.
 Step = Callable[[DataFrame, int, DataFrame], DataFrame]
 STATE = ("walk_id", "prev", "cur", "done", "trail", "base")
+#: Acceptance ratio of a candidate from the degrees of the previous and the current vertex, and whether it is the return vertex or common.
+Accept = Callable[[WalkConfig, Column, Column, Column, Column], Column]
+#: Candidates that a walk at a hub draws at a time.
+TRIES = 16
 
 
 def _starts(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None) -> DataFrame:
@@ -148,14 +157,85 @@ def _class_step(cfg: WalkConfig, weigh: Weigh, stop: Callable[[int], Column] | N
     return step
 
 
+def _split(adj: DataFrame, cfg: WalkConfig) -> tuple[DataFrame, DataFrame | None]:
+    """adj without the lists of hubs, and the edges of these (src, i, dst); adj as it is and None if there is no hub."""
+    if adj.where(F.col("deg") > cfg.hub_degree).isEmpty():
+        return adj, None
+    light = in_buckets(adj.withColumn("nbrs", F.when(F.col("deg") <= cfg.hub_degree, F.col("nbrs"))), "src")
+    return light, written(adj.where(F.col("deg") > cfg.hub_degree).select("src", F.posexplode("nbrs").alias("i", "dst")))
+
+
+def _with_degree(df: DataFrame, adj: DataFrame, col: str, name: str, degree: str) -> DataFrame:
+    key = F.when(F.col("done"), -1 - F.col("walk_id")).otherwise(F.col(col))
+    return df.withColumn("_k", key).join(adj.select(F.col("src").alias("_k"), F.col("nbrs").alias(name), F.col("deg").cast("bigint").alias(degree)), "_k", "left").drop("_k")
+
+
+def _at_place(df: DataFrame, hubs: DataFrame, place: str, name: str) -> DataFrame:
+    """df with the neighbour of cur at a place: from the list _n, or from the edges of a hub."""
+    far = hubs.select(F.col("src").alias("_hs"), F.col("i").alias("_hi"), F.col("dst").alias("_hd"))
+    on = (F.when(F.col("_n").isNull() & ~F.col("done"), F.col("cur")) == F.col("_hs")) & (F.col(place) == F.col("_hi"))
+    return df.join(far, on, "left").withColumn(name, F.coalesce(F.get("_n", F.col(place)), F.col("_hd"))).drop("_hs", "_hi", "_hd")
+
+
+def _accepted(walks: DataFrame, hubs: DataFrame, cfg: WalkConfig, accept: Accept, i: int) -> DataFrame:
+    """(walk_id, _new) of walks (walk_id, prev, cur, done, pn, _n, _dp, _dc) from or after hubs: rounds of candidates until each walk has one."""
+    found, left, round_ = [], written(walks), 0
+    while not left.isEmpty():
+        tries = left.withColumn("_t", F.explode(F.sequence(F.lit(round_ * TRIES), F.lit(round_ * TRIES + TRIES - 1))))
+        tries = tries.withColumn("_place", below(u32(cfg.seed, F.col("walk_id"), i, "hub", F.col("_t")), F.col("_dc")).cast("int"))
+        tries = _at_place(tries, hubs, "_place", "_x")
+        near = hubs.select(F.col("src").alias("_hs"), F.col("dst").alias("_hd"), F.lit(True).alias("_hub_common"))
+        tries = tries.join(near, (F.when(F.col("pn").isNull(), F.col("prev")) == F.col("_hs")) & (F.col("_x") == F.col("_hd")), "left")
+        common = F.coalesce(F.array_contains("pn", F.col("_x")), F.col("_hub_common"), F.lit(False))
+        ratio = accept(cfg, F.col("_dp"), F.col("_dc"), F.col("_x") == F.col("prev"), common)
+        passed = u32(cfg.seed, F.col("walk_id"), i, "accept", F.col("_t")) < ratio * float(1 << 32)
+        took = written(tries.where(passed).groupBy("walk_id").agg(F.min_by("_x", "_t").alias("_new")))
+        found.append(took)
+        left, round_ = written(left.join(took, "walk_id", "left_anti")), round_ + 1
+    return reduce(DataFrame.union, found) if found else walks.select("walk_id", F.col("cur").alias("_new"))
+
+
+def _run_with_hubs(frontier: DataFrame, adj: DataFrame, hubs: DataFrame, cfg: WalkConfig, steps: int, weigh: Weigh | None = None, accept: Accept | None = None, stop: Callable[[int], Column] | None = None) -> DataFrame:
+    """As _run, a table for each step; adj has no lists of hubs. First-order without weigh."""
+    parts = []
+    for at in range(steps):
+        both = _with_degree(frontier, adj, "cur", "_n", "_dc")
+        u = u32(cfg.seed, F.col("walk_id"), at)
+        if weigh is None or at == 0:
+            placed = both.withColumn("_place", F.when(F.col("_dc") > 0, F.pmod(u, F.col("_dc"))).cast("int"))
+            frontier = _moved(_at_place(placed, hubs, "_place", "_new"))
+        else:
+            both = _with_degree(both, adj, "prev", "pn", "_dp")
+            heavy = ~F.col("done") & (F.col("_dc") > 0) & (F.col("_n").isNull() | F.col("pn").isNull())
+            both = written(both.withColumn("_heavy", F.coalesce(heavy, F.lit(False))))
+            light = _moved(choose_by_class(both.where("not _heavy"), u, weigh(cfg, F.col("_dp"), F.col("_dc"))), stop(at) if stop else None)
+            rest = both.where("_heavy")
+            took = _accepted(rest.select("walk_id", "prev", "cur", "done", "pn", "_n", "_dp", "_dc"), hubs, cfg, accept, at)
+            frontier = light.union(_moved(rest.join(took, "walk_id"), stop(at) if stop else None))
+        frontier = written(frontier.select(*STATE))
+        parts.append(frontier.select("walk_id", "base", F.posexplode("trail").alias("i", "vertex")).select("walk_id", (F.col("base") + F.col("i")).alias("step"), "vertex"))
+        frontier = frontier.where("not done").withColumn("base", F.col("base") + F.size("trail")).withColumn("trail", F.array().cast("array<bigint>"))
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.union, parts)
+
+
 def _node2vec_weights(cfg: WalkConfig, deg_prev: Column, deg_cur: Column) -> weights.Classes:
     return weights.node2vec(cfg.p, cfg.q)
 
 
+def _node2vec_accept(cfg: WalkConfig, deg_prev: Column, deg_cur: Column, back: Column, common: Column) -> Column:
+    return weights.node2vec_acceptance(float(cfg.p), float(cfg.q), back, common)
+
+
 def _ar_weights(cfg: WalkConfig, deg_prev: Column, deg_cur: Column) -> weights.Classes:
     return weights.autoregressive(cfg.alpha, deg_prev, deg_cur)
 
 
+def _ar_accept(cfg: WalkConfig, deg_prev: Column, deg_cur: Column, back: Column, common: Column) -> Column:
+    return weights.autoregressive_acceptance(float(cfg.alpha), deg_prev, deg_cur, common)
+
+
 def _decayed(cfg: WalkConfig) -> Callable[[int], Column]:
     bound = int(cfg.decay_factor * (1 << 32))
     return lambda i: u32(cfg.seed, F.col("walk_id"), i, "d") > bound
@@ -171,34 +251,40 @@ def deepwalk(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None, v
     who = _starts(adj if vertices is None else vertices.select(F.col("v").alias("src")), cfg, starts)
     if _few(cfg, who, starts):
         return _run_few(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length)
+    light, hubs = _split(adj, cfg)
+    if hubs is not None:
+        return _run_with_hubs(_frontier(who), light, hubs, cfg, cfg.walk_length)
     return _run(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length, cfg.segment)
 
 
-def _second_order(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, starts: DataFrame | None, edges: int, stop=None) -> DataFrame:
+def _second_order(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, accept: Accept, starts: DataFrame | None, edges: int, stop=None) -> DataFrame:
     who = _starts(adj.where("deg > 0"), cfg, starts)
     if starts is not None:
         who = who.join(adj.where("deg > 0").select(F.col("src").alias("source")), "source", "left_semi").select("walk_id", "source")
     if _few(cfg, who, starts):
         return _run_few(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, second_order=True)
+    light, hubs = _split(adj, cfg)
+    if hubs is not None:
+        return _run_with_hubs(_frontier(who), light, hubs, cfg, edges, weigh, accept, stop)
     return _run(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, cfg.segment, second_order=True)
 
 
 def node2vec(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:
     """One uniform edge and walk_length second-order steps from every vertex that has neighbours."""
-    return _second_order(adj, cfg, _node2vec_weights, starts, cfg.walk_length + 1)
+    return _second_order(adj, cfg, _node2vec_weights, _node2vec_accept, starts, cfg.walk_length + 1)
 
 
 def autoregressive(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:
-    return _second_order(adj, cfg, _ar_weights, starts, cfg.walk_length + 1)
+    return _second_order(adj, cfg, _ar_weights, _ar_accept, starts, cfg.walk_length + 1)
 
 
 def ppr(adj: DataFrame, cfg: WalkConfig, starts: DataFrame) -> DataFrame:
     """node2vec steps, at most walk_length edges, each but the first taken with probability decay_factor."""
-    return _second_order(adj, cfg, _node2vec_weights, starts, cfg.walk_length, _decayed(cfg))
+    return _second_order(adj, cfg, _node2vec_weights, _node2vec_accept, starts, cfg.walk_length, _decayed(cfg))
 
 
 def autoregressive_ppr(adj: DataFrame, cfg: WalkConfig, starts: DataFrame) -> DataFrame:
-    return _second_order(adj, cfg, _ar_weights, starts, cfg.walk_length, _decayed(cfg))
+    return _second_order(adj, cfg, _ar_weights, _ar_accept, starts, cfg.walk_length, _decayed(cfg))
 
 
 def linkscan(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None) -> DataFrame:

@@ -4,12 +4,14 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from meander.operators import graph as G
 from meander.operators import stats as S
 from meander.plans import walks as P
 from meander.plans.config import WalkConfig
-from meander.sources import sinks, text
+from meander.sources import sinks, tables, text
+from meander.sources.tables import in_buckets, written
 
 TOY = [(0, 1), (0, 2), (1, 2), (1, 3), (3, 4)]
 
@@ -90,6 +92,113 @@ def test_step_distribution_matches_transition_table(adj, spark):
     assert chi < 13.8  # 0.001 at two degrees of freedom
 
 
+@pytest.mark.parametrize("program", ["node2vec", "ar"])
+def test_steps_at_hubs(adj, program):
+    """All vertices of two neighbours or more as hubs: the same chances as the table of transitions has."""
+    cfg = WalkConfig(walk_length=1, walks_per_vertex=3000, p=Fraction(4), q=Fraction(1, 4), hub_degree=1)
+    got = paths(P.PROGRAMS[program](adj, cfg))
+    assert len(got) == 15_000
+    want = {(r.prev, r.cur, r.next): r.prob for r in P.transitions(adj, program, cfg).collect()}
+    seen = Counter(tuple(p) for p in got.values())
+    for prev, cur in {k[:2] for k in want}:
+        n = sum(c for k, c in seen.items() if k[:2] == (prev, cur))
+        cells = [(seen[k], n * x) for k, x in want.items() if k[:2] == (prev, cur)]
+        assert n and sum((o - e) ** 2 / e for o, e in cells) < 16.3  # 0.001 at three degrees of freedom, the most there are
+
+
+def test_hubs_first_order_and_decay(adj, spark):
+    plain = WalkConfig(walk_length=5)
+    assert paths(P.deepwalk(adj, plain)) == paths(P.deepwalk(adj, WalkConfig(walk_length=5, hub_degree=1)))
+    starts = spark.createDataFrame([(0, 0), (1, 3)], "position long, source long")
+    got = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40, on_demand_walks=0, hub_degree=2), starts))
+    few = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40), starts))
+    many = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40, on_demand_walks=0), starts))
+    assert few == many and {w: len(p) for w, p in got.items()} == {w: len(p) for w, p in many.items()}
+
+
+def test_adjacency_stays_where_it_is(spark, toy):
+    """Without broadcasts a step moves the frontier only: one exchange a step, none for the first."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = in_buckets(G.adjacency(toy), "src")
+        step, f = P._class_step(WalkConfig(), P._node2vec_weights), P._frontier(P._starts(a, WalkConfig(), None))
+        for i in range(4):
+            f = step(f, i, a)
+        plan = f.select(*P.STATE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange") == 3 and plan.count("Bucketed: true") == 5
+
+
+def test_pick_by_weight(spark):
+    df = spark.sql("SELECT d, array(named_struct('x', 5L, 'w', 0L), named_struct('x', 6L, 'w', 2L), named_struct('x', 7L, 'w', 3L), named_struct('x', 8L, 'w', 0L)) AS c FROM range(6) t(d)")
+    assert [r[0] for r in df.orderBy("d").select(P.pick_by_weight(F.col("c"), F.col("d"))).collect()] == [6, 6, 7, 7, 7, 7]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    """Line numbers of a file that many splits read, comments left out."""
+    (tmp_path / "e.txt").write_text("".join(f"{i} {(i * 7919) % 100_003}\n" + ("# c\n" if i % 5 == 0 else "") for i in range(20_000)))
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = text.read_edges(spark, str(tmp_path / "e.txt"), numbered=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+    assert len(got) == 20_000 and all(r.line == r.src for r in got)
+    (tmp_path / "f.txt").write_text("7 3\n3 9\n9 7\n1 3\n")
+    ids = G.first_seen_ids(text.read_edges(spark, str(tmp_path / "f.txt"), numbered=True), "line")
+    assert rows(ids, "old", "new") == [(1, 3), (3, 1), (7, 0), (9, 2)]
+
+
+def test_block_lookup_and_blocks_of_any_graph(spark):
+    """Greedy blocks and the block of each vertex against a plain loop, with gaps, hubs and blocks much smaller than a cell."""
+    degrees = {v: (v * 37 % 11) + (500 if v % 97 == 0 else 1) for v in range(3, 5000, 3)}
+    a = spark.createDataFrame([(v, d, [0]) for v, d in degrees.items()], "src long, deg int, nbrs array<long>").repartition(7)
+    want, start, edges, last = [], 0, 0, -1
+    for v, d in degrees.items():
+        if last >= 0 and edges + d > 60 and v > start:
+            want.append((start, v, edges))
+            start, edges = v, 0
+        edges, last = edges + d, v
+    want.append((start, last + 1, edges))
+    b = written(G.sequential_blocks(a, 60))
+    assert rows(b, "start_v", "end_v", "n_edges") == want and rows(b, "block_id") == [(i,) for i in range(len(want))]
+    got = {r.src: r.block_id for r in G.with_block(a.select("src"), b, "src").collect()}
+    assert got == {v: next(i for i, (s, e, _) in enumerate(want) if s <= v < e) for v in degrees}
+
+
+def test_block_log_feeds_the_training(spark, tmp_path):
+    rows_ = [(0, 1, 100, 500, n, 2.0, n / 100) for n in range(10, 100, 10)]
+    log = spark.createDataFrame(rows_, "block_id int, other_block int, nverts long, nedges long, nwalks long, load_time double, exec_time double")
+    sinks.write_block_log(log, str(tmp_path / "full"))
+    sinks.write_block_log(log.withColumns({"load_time": F.lit(0.5), "exec_time": F.col("nwalks") * 0.04}), str(tmp_path / "demand"))
+    assert spark.read.csv(str(tmp_path / "full"), header=True).columns == ["dynamic-block-id", "static-block-id", "nverts", "nedges", "nwalks", "load-block-time", "exec-block-time"]
+    full, demand = (text.read_block_log(spark, str(tmp_path / x)) for x in ("full", "demand"))
+    assert S.load_thresholds(full, demand).first().ths == pytest.approx(0.5)
+    assert S.pair_thresholds(full, demand).first() == (0, 1, pytest.approx(0.5))
+    sinks.write_block_log(log.drop("other_block"), str(tmp_path / "static"))
+    assert text.read_block_log(spark, str(tmp_path / "static")).columns == ["block_id", "nverts", "nedges", "nwalks", "load_time", "exec_time"]
+
+
+def test_fanout_of_the_usual_sizes(adj, spark):
+    got = {r["level"]: r["count"] for r in P.fanout(adj, adj.select(F.col("src").alias("source")), [50, 20, 10, 5], 7).groupBy("level").count().collect()}
+    assert got == {0: 5, 1: 250, 2: 5000, 3: 50_000, 4: 250_000}
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda k, v=None: v)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        tables.shared_dir(Cluster)
+
+
 def test_sinks_end_first_order_walks(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
     got = paths(P.deepwalk(G.adjacency(edges), WalkConfig(walk_length=5), vertices=G.distinct_vertices(edges)))
