@@ -3,9 +3,9 @@
 A row's key is the first half of the MD5 of its id as text; the jump hash maps the key and a number of shards to a shard
 without any table. With one more shard, only the rows that the new one takes change place.
 
-Slots number the rows of a shard from 0 in the order of (key, id, checksum, size). Rows are numbered inside key ranges, and
-the ranges' sizes, a small table, give each range its first slot, so no task sees a whole shard. Rows alike in all of these
-are one row with a count until the end.
+Slots number the rows of a shard from 0 in the order of ranges and, inside a range, of (key, id, checksum, size). The ranges are dealt by
+a hash of all of these, so rows of one id, or without an id, spread over them; the ranges' sizes, a small table, give each range its
+first slot, so no task sees a whole shard. Rows alike in all of these are one row with a count until the end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 ROWS_PER_RANGE = 50_000
-#: Four hexadecimal digits of the key make the ranges.
+#: Of ranges in a shard, as a power of two.
 MOST_RANGE_BITS = 16
 
 
@@ -69,7 +69,7 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     bits = min(MOST_RANGE_BITS, max(0, math.ceil(math.log2(max(1, df.count()) / (shards * ROWS_PER_RANGE)))))
-    part = F.shiftright(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"), 16 - bits)
+    part = F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(1 << bits)).cast("int")
     placed = with_shards(rows.groupBy("id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), shards, "id").withColumn("_part", part)
     sizes = placed.groupBy("shard", "_part").agg(F.sum("n").alias("rows"))
     first = sizes.select("shard", "_part", (F.sum("rows").over(W.partitionBy("shard").orderBy("_part")) - F.col("rows")).alias("first"))
