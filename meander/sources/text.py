@@ -62,9 +62,11 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pair_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """(block_id, other_block, ths) of a file of thresholds by pairs: for each block from 1 on a line for each smaller one."""
-    block = F.floor((1 + F.sqrt(1 + 8 * F.col("line"))) / 2).cast("bigint")
-    return read_numbers(spark, path).select(block.cast("int").alias("block_id"), (F.col("line") - F.expr("{b} * ({b} - 1) div 2".format(b="cast(floor((1 + sqrt(1 + 8 * line)) / 2) as bigint)"))).cast("int").alias("other_block"), F.col("value").alias("ths"))
+    """(block_id, other_block, ths) of a file of thresholds by pairs: for each block from 1 on a number for each smaller one, in any number of lines."""
+    each = numbered_lines(spark, path).select("line", F.posexplode(F.split(F.trim("value"), "[\\t, ]+")).alias("i", "text"))
+    numbered = row_numbers(each, "n", F.col("line"), F.col("i"))
+    block = numbered.withColumn("b", F.floor((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("bigint"))
+    return block.select(F.col("b").cast("int").alias("block_id"), F.expr("cast(n - b * (b - 1) div 2 as int)").alias("other_block"), F.col("text").cast("double").alias("ths"))
 
 
 #: Columns of block logs by the names that the threshold training knows, and their types. Fixed names: those of the log files.

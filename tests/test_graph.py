@@ -181,6 +181,11 @@ def test_block_log_feeds_the_training(spark, tmp_path):
     assert text.read_block_log(spark, str(tmp_path / "static")).columns == ["block_id", "nverts", "nedges", "nwalks", "load_time", "exec_time"]
 
 
+def test_pair_thresholds_in_rows(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("0.1\n0.2 0.3\n0.4 0.5 0.6\n")
+    assert rows(text.read_pair_thresholds(spark, str(tmp_path / "t.txt"))) == [(1, 0, 0.1), (2, 0, 0.2), (2, 1, 0.3), (3, 0, 0.4), (3, 1, 0.5), (3, 2, 0.6)]
+
+
 def test_fanout_of_the_usual_sizes(adj, spark):
     got = {r["level"]: r["count"] for r in P.fanout(adj, adj.select(F.col("src").alias("source")), [50, 20, 10, 5], 7).groupBy("level").count().collect()}
     assert got == {0: 5, 1: 250, 2: 5000, 3: 50_000, 4: 250_000}
