@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
-Patterns find candidate strings; each value is then counted over the whole corpus by the repositories and owners that hold
-it. A value that many owners share is an example that was copied around; one that few owners hold and that looks random is
-taken for a live credential. Besides the fixed patterns the scan proposes long strings of mixed character classes; those are
+Patterns find candidate strings; each value is then counted over the whole corpus by the distinct repositories and owners that hold
+it. A value that many owners share, or that stands in many repositories for each of its few owners, is an example that was copied
+around; one in few places of few owners that looks random is taken for a live credential. Besides the fixed patterns the scan proposes long strings of mixed character classes; those are
 reported only where ownership says that they are live.
 
 Positions come from splitting a text at a pattern: the lengths of the pieces and of the matches, summed up in a window over
@@ -27,7 +27,9 @@ PATTERNS = (
 #: A pattern that matches no less of those values, and is quicker where short matches abound.
 QUICK = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
 BASE = ("assign", "access", "hex")
+#: More owners, or more repositories for each owner, make an example.
 MAX_OWNERS = 4
+MAX_REPOSITORIES = 32
 LEAST_CHARACTERS = 6
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|0000000|1234567"
 
@@ -55,32 +57,30 @@ def _looks_live(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_CHARACTERS) & ~value.rlike(PLACEHOLDER)
 
 
-def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
-    """(row, id, owner, repository, found) for each row of df, as a written table; found: the matches of all patterns."""
-    text = F.col("text")
-    named = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(repository_col or id_col).cast("string").alias("repository"))
-    return written(named.select(F.monotonically_increasing_id().alias("row"), "id", "owner", F.coalesce("repository", F.lit("")).alias("repository"), F.concat(*(_found(*p, text) for p in PATTERNS)).alias("found")))
+def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, keep_rows: bool = False) -> DataFrame:
+    """(row, id, owner, repository, found) for each row of df, as a written table; found: the matches of all patterns.
+
+    keep_rows: doc has the row of df as a struct. Its text then need not be matched or fetched again.
+    """
+    doc = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")] if keep_rows else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = df.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository_col or id_col).cast("string"), F.lit("")).alias("repository"), *doc)
+    return written(named.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", F.concat(*(_found(*p, F.col("text")) for p in PATTERNS)).alias("found"), *(["doc"] if doc else [])))
 
 
-def ownership(spans: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(hash, n_owners, n_repositories, verdict) for each value: live, example (many owners) or weak (does not look random)."""
+def ownership(spans: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(hash, n_owners, n_repositories, verdict) for each value: live, example (many owners, or many repositories of few) or weak (does not look random)."""
     # Counts of distinct pairs go before the shuffle, so a value copied into most documents is a few rows of each task.
     owners = spans.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
-    repositories = spans.select("hash", "repository").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
+    repositories = spans.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
     looks = spans.groupBy("hash").agg(F.max("looks").alias("looks"))
-    verdict = F.when(F.col("n_owners") > max_owners, "example").when(F.col("looks"), "live").otherwise("weak")
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories * F.col("n_owners"))
+    verdict = F.when(copied, "example").when(F.col("looks"), "live").otherwise("weak")
     return owners.join(repositories, "hash").join(looks, "hash").select("hash", "n_owners", "n_repositories", verdict.alias("verdict"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans) of df.
-
-    rows: (row, id), one for each row of df. spans: (row, id, kind, name, start, end, value, hash, n_owners, n_repositories,
-    verdict), places in code points, end exclusive; kind is the place of name in PATTERNS. Without a repository column each
-    id is a repository. Null texts count as empty, null owners as one owner; rows with repeated ids are scanned each;
-    other columns are not read; an empty table gives empty tables.
-    """
-    drawn = candidates(df, id_col, text_col, owner_col, repository_col)
+def _judged(drawn: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """The spans of candidates with the verdicts on their values; of the proposed kind only those that are live."""
     each = drawn.where(F.size("found") > 0).select("row", "id", "owner", "repository", F.posexplode("found").alias("at", "x"))
     run = W.partitionBy("row", "x.kind").orderBy("at")
     names = F.array(*(F.lit(p[0]) for p in PATTERNS))
@@ -91,22 +91,37 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         .withColumn("looks", _looks_live(F.col("value")))
     )
     spans = written(spans)
-    judged = spans.join(ownership(spans, max_owners), "hash").drop("owner", "repository", "looks")
-    return drawn.select("row", "id"), judged.where(F.col("name").isin(*BASE) | (F.col("verdict") == "live"))
+    judged = spans.join(ownership(spans, max_owners, max_repositories), "hash").drop("owner", "repository", "looks")
+    return judged.where(F.col("name").isin(*BASE) | (F.col("verdict") == "live"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans) of df.
+
+    rows: (row, id), one for each row of df. spans: (row, id, kind, name, start, end, value, hash, n_owners, n_repositories,
+    verdict), places in code points, end exclusive; kind is the place of name in PATTERNS. A repository is one of its owner's; without
+    a repository column each id is one. Null texts count as empty, null owners as one owner; rows with repeated ids are scanned each;
+    other columns are not read; an empty table gives empty tables.
+    """
+    drawn = candidates(df, id_col, text_col, owner_col, repository_col)
+    return drawn.select("row", "id"), _judged(drawn, max_owners, max_repositories)
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """df with every live value replaced in the texts of the ids that hold it; all rows and columns stay.
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """df with every live value replaced in the texts of the rows that hold it; all rows and columns stay, whatever their names.
 
-    Only texts with a match of some pattern are shuffled, to meet their values. An n_chars column is counted anew for them.
+    Texts are matched once; only those with a match of some pattern are shuffled, to meet their values. A null text stays null, an empty
+    table empty; rows with null or repeated ids are treated each. An n_chars column is counted anew where a text has changed.
     """
-    spans = scan(df, id_col, text_col, owner_col, max_owners=max_owners)[1]
-    live = spans.where("verdict = 'live'").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
-    text = F.col(text_col)
-    some = F.coalesce(F.greatest(*(text.rlike(QUICK.get(p[0], p[1])) for p in PATTERNS)), F.lit(False))
-    hit = df.where(some).join(live, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), text, lambda t, v: F.replace(t, v, F.lit(mark)))
-    hit = hit.withColumn(text_col, clean)
+    drawn = candidates(df, id_col, text_col, owner_col, keep_rows=True)
+    spans = _judged(drawn, max_owners, max_repositories)
+    live = spans.where("verdict = 'live'").groupBy("row").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("values"))
+    some = F.exists("found", lambda x: x["ok"])
+    hit = drawn.where(some).select("row", "doc").join(live, "row", "left")
+    clean = F.aggregate(F.coalesce("values", F.array().cast("array<string>")), F.col("doc")[text_col], lambda t, v: F.replace(t, v, F.lit(mark)))
+    hit = hit.withColumn("clean", clean)
+    fresh = {text_col: F.col("clean")}
     if "n_chars" in df.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("_values").isNotNull(), F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.where(~some).unionByName(hit.select(*df.columns))
+        fresh["n_chars"] = F.when(F.col("values").isNotNull(), F.length("clean").cast(df.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
+    own = {c: F.col("doc")[c] for c in df.columns}
+    return drawn.where(~some).select(*(x.alias(c) for c, x in own.items())).union(hit.select(*(x.alias(c) for c, x in (own | fresh).items())))
