@@ -2,12 +2,12 @@
 
 A word's merges are a chain of dependent steps, but its result can be checked locally: a sequence of tokens is the BPE
 encoding of its bytes exactly if every token encodes to itself and every adjacent pair is compatible, that is, encodes to
-itself too. So greedy longest match proposes tokens for all new words at once, walking a trie in step; the distinct adjacent
+itself too. So greedy longest match proposes tokens for all new words at once, walking a trie in step (the last few, long ones, each by itself); the distinct adjacent
 pairs are tested at once by taking both tokens apart along their merges and asking whether an earlier merge would have
 crossed the boundary; only words with an incompatible pair are merged step by step.
 
 The pattern that cuts a text into words is that of the tokeniser's file (byte-level pre-tokeniser); special tokens of the
-file are cut out first, as its library does. Each worker keeps the words it has seen, up to a bound.
+file are cut out first, as its library does. Each worker keeps the words it has seen, up to a bound in bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import text_blocks
 
-CACHE_WORDS = 250_000
+#: Memory of the words that a worker keeps. A word takes its own strings and about that much for the objects that hold them.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 360
+#: With fewer words a step of all costs more than steps of each.
+FEW = 16
 #: Texts whose words are looked up, and whose ids are held, together.
 BLOCK_BYTES = 1 << 20
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,14 +42,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+def _checked(file: dict) -> dict:
+    """The file, if it asks for nothing that is not done here: else its library would give other tokens."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = {"normalizer": file.get("normalizer"), "dropout": model.get("dropout"), "continuing_subword_prefix": model.get("continuing_subword_prefix"), "end_of_word_suffix": model.get("end_of_word_suffix"), "ignore_merges": model.get("ignore_merges"), "add_prefix_space": before.get("add_prefix_space")}
+    odd = [k for k, v in plain.items() if v]
+    odd += [f"added token {t['content']!r}: {k}" for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
+        odd.append("model or pre-tokeniser")
+    if odd:
+        raise ValueError(f"not supported: {', '.join(odd)}")
+    return file
+
+
 class Vocabulary:
     """Tables of a byte-level BPE file. Ids are renamed to ranks: bytes 0 to 255, then merges in order."""
 
-    encoder = None
+    encoder = plain = None
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+            file = _checked(json.load(f))
         model, letters = file["model"], byte_letters()
         vocab = model["vocab"]
         unwrap = lambda s: bytes(letters[c] for c in s)
@@ -128,7 +145,7 @@ class Vocabulary:
         best, best_end = np.full(n, -1), start.copy()
         out_word, out_at, out_rank = [], [], []
         live = np.flatnonzero(at < stop)
-        while len(live):
+        while len(live) > FEW:
             p = place[live]
             inside = p < stop[live]
             key = node[live] * 256 + np.where(inside, data[np.minimum(p, len(data) - 1)], 0)
@@ -147,12 +164,31 @@ class Vocabulary:
                 at[end_of] = place[end_of] = best_end[end_of]
                 node[end_of], best[end_of] = 0, -1
             live = np.concatenate([go, end_of[at[end_of] < stop[end_of]]])
+        for w in live.tolist():
+            found = list(self._longest(data[at[w] : stop[w]].tobytes()))
+            out_word.append(np.full(len(found), word[w]))
+            out_at.append(at[w] + np.array([a for a, _ in found], np.int64))
+            out_rank.append(np.array([r for _, r in found], np.int64))
         if not out_word:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         w, a, r = (np.concatenate(x) for x in (out_word, out_at, out_rank))
         order = np.argsort(a, kind="stable")
         return w[order], r[order]
 
+    def _longest(self, raw: bytes):
+        """(place, rank) of the greedy longest matches of one word."""
+        if self.plain is None:
+            self.plain = dict(zip(self.edge_key.tolist(), self.edge_to.tolist(), strict=True)), self.accept.tolist()
+        (edges, accept), at = self.plain, 0
+        while at < len(raw):
+            node, best, best_end, place = 0, -1, at, at
+            while place < len(raw) and (node := edges.get(node * 256 + raw[place], -1)) >= 0:
+                place += 1
+                if accept[node] >= 0:
+                    best, best_end = accept[node], place
+            yield at, best
+            at = best_end
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether no merge crosses the boundary of a and b before both are complete, for each pair of tokens.
 
@@ -202,8 +238,8 @@ class Vocabulary:
 class Encoder:
     """Encodes texts with a bounded memory of words: (ids joined by commas, number of ids, bytes they stand for, ids as int32)."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_words: int = CACHE_WORDS):
-        self.v, self.seen, self.cache_words = vocabulary, {}, cache_words
+    def __init__(self, vocabulary: Vocabulary, cache_bytes: int = CACHE_BYTES):
+        self.v, self.seen, self.held, self.cache_bytes = vocabulary, {}, 0, cache_bytes
         self.words = regex.compile(WORD_PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.fixed = {s: (str(i), 1, vocabulary.id_bytes[i], pack("<i", i)) for s, i in vocabulary.special.items()}
@@ -222,33 +258,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes, bytes]]]:
         split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.seen)
-        if len(self.seen) + len(new) > self.cache_words:
+        if self.held > self.cache_bytes:
             self.seen.clear()
-            new = set().union(*split)
+            self.held, new = 0, set().union(*split)
         special = {w for w in new if w.startswith("\0special") and w[8:] in self.fixed}
         plain = list(new - special)
         raw = [w.encode() for w in plain]
         token = self.v.id_bytes
         for w, ids in zip(plain, self.v.encode_words(raw), strict=True):
-            self.seen[w] = ",".join(map(str, ids)), len(ids), b"".join(map(token.__getitem__, ids)), pack(f"<{len(ids)}i", *ids)
+            self.seen[w] = entry = ",".join(map(str, ids)), len(ids), b"".join(map(token.__getitem__, ids)), pack(f"<{len(ids)}i", *ids)
+            self.held += ENTRY_BYTES + 2 * len(entry[2]) + len(entry[0]) + len(entry[3])
         for w in special:
             self.seen[w] = self.fixed[w[8:]]
         get = self.seen.__getitem__
         return [[get(w) for w in ws] for ws in split]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) for each row of df.
 
-    A worker keeps cache_words words at most (about 400 bytes each): more take less time. ids is null unless keep_ids; decoded_sha256 is the digest of the text that decoding the ids gives. A null or empty text has no tokens. Rows
-    with null or repeated ids are encoded each; other columns are not read; an empty table gives an empty result.
+    A worker keeps words in cache_bytes, besides those of one block: more take less time. ids is null unless keep_ids; decoded_sha256
+    is the digest of the text that decoding the ids gives. A null or empty text has no tokens. Rows with null or repeated ids are encoded
+    each; other columns are not read; an empty table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
         v = sent.value
-        encoder = v.encoder = v.encoder or Encoder(v, cache_words)  # stays with the worker's copy of the vocabulary from task to task
+        encoder = v.encoder = v.encoder or Encoder(v, cache_bytes)  # stays with the worker's copy of the vocabulary from task to task
         for batch in batches:
             for at, to, data, off in text_blocks(batch.column(1), BLOCK_BYTES):
                 raw, cut = data.tobytes(), off.tolist()
@@ -270,7 +308,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): the text of each row's token ids; bytes that are no UTF-8 become U+FFFD, null ids give the empty text."""
+    """(id, text): the text of each row's token ids; bytes that are no UTF-8 become U+FFFD.
+
+    Null or empty ids, however many rows have them, give the empty text; an id that the file does not have ends the job. Rows with null
+    or repeated id columns are decoded each; other columns are not read; an empty table gives an empty result.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 

@@ -9,17 +9,20 @@ The masks miss some of those stretches, so two hits of PAIR on one diagonal coun
 between m others make at most m + 1 runs, thus at least e - 2 (m + 1) runs of three; with e >= 12 and e >= 3 m that is two or more.
 
 The index is sent to the executors in blocks of a bounded number of items' bytes; a larger benchmark means more blocks,
-each held against all documents. Documents are read once a block and never shuffled.
+each held against all documents, one after the other: its result is written and its index given up before the next is sent.
+Documents are read once a block and never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, PLACE, Prefix, mix, text_blocks, word_spans
+from .common import FOLD, PLACE, Prefix, mix, text_blocks, word_spans, written
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("1101101011", "1011100101101", "111010011011")
@@ -56,8 +59,8 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Index:
     """Seeds of benchmark items. Items with fewer tokens than a mask are found by a seed of all their tokens."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids, tokens = ids, []
+    def __init__(self, ids: list, texts: list[str], number: int = 0):
+        self.ids, self.number, tokens = ids, number, []
         for _, _, data, off in text_blocks(pa.array(texts, pa.string())):
             h, first = _tokens(data, off)
             tokens += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -128,16 +131,16 @@ def _leaks(column, index: Index):
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """The benchmark's items in blocks of at most INDEX_BYTES of text (one item at least), read one partition at a time."""
-    ids, texts, size = [], [], 0
+    ids, texts, size, number = [], [], 0, 0
     for i, text in benchmark.select(item_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy(item_col, "t").toLocalIterator():
         if ids and size + len(text) > INDEX_BYTES // 4:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
+            yield Index(ids, texts, number)
+            ids, texts, size, number = [], [], 0, number + 1
         ids.append(i)
         texts.append(text)
         size += len(text)
     if ids:
-        yield Index(ids, texts)
+        yield Index(ids, texts, number)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -149,11 +152,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """
     id_type, item_type = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, n_equal long, n_tokens long, first_token long, share double"
-    spark, out = df.sparkSession, None
-    for index in _blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(index)
+    def rows(index: Index):
+        sent = df.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, sent=sent):
+        def run(batches):
             index = sent.value
             for batch in batches:
                 rows = list(_leaks(batch.column(1), index))
@@ -161,9 +163,23 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                     row, item, equal, tokens, first = (list(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([index.ids[i] for i in item]), pa.array(equal, pa.int64()), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()), pa.array([e / t for e, t in zip(equal, tokens, strict=True)], pa.float64())], ["id", "item", "n_equal", "n_tokens", "first_token", "share"])
 
-        part = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema), sent
+
+    parts = list(_in_turn(_blocks(benchmark, item_col, item_text_col), rows))
+    return reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], schema)
+
+
+def _in_turn(blocks, rows):
+    """rows(index) for each block of the benchmark; with several, each is written before the next one's index is sent."""
+    index = next(blocks, None)
+    while index is not None:
+        after = next(blocks, None)
+        found, sent = rows(index)
+        if after is not None or index.number:
+            found = written(found)
+            sent.unpersist()
+        yield found
+        index = after
 
 
 def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -173,14 +189,19 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     through; an empty benchmark keeps every row, an empty table gives an empty result.
     """
     place = df.columns.index(text_col)
-    for index in _blocks(benchmark, item_col, item_text_col):
+    left = [df]
+
+    def rows(index: Index):
         sent = df.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, sent=sent):
+        def run(batches):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, *_ in _leaks(batch.column(place), sent.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+        return left[-1].mapInArrow(run, df.schema), sent
+
+    for found in _in_turn(_blocks(benchmark, item_col, item_text_col), rows):
+        left.append(found)
+    return left[-1]

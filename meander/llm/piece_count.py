@@ -6,7 +6,7 @@ node for what is left after the pieces that are already certain, and the number
 character is read once, no piece is built, and the sum of the popped numbers is the length. A word that has no tokenisation is one
 unknown token.
 
-Distinct words of a block go through the automaton in step, one character at a time.
+Distinct words of a block go through the automaton in step, one character at a time; when few are left, the long ones, each by itself.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Prefix, text_blocks, word_spans
 
 _SHIFT = 21  # a code point has 21 bits
+#: With fewer words a step of all costs more than steps of each.
+FEW = 16
 
 
 class Automaton:
@@ -56,13 +58,28 @@ class Automaton:
         order = np.argsort(key)
         self.key, self.to = key[order], np.array(list(edges.values()), np.int64)[order]
         self.link, self.popped = np.array(link), np.array(popped)
+        self._plain = None
+
+    def _one(self, letters: list[int], node: int, total: int) -> tuple[int, int, bool]:
+        """(node, total, unknown) after the letters of one word."""
+        if self._plain is None:
+            self._plain = dict(zip(self.key.tolist(), self.to.tolist(), strict=True)), self.link.tolist(), self.popped.tolist()
+        edges, link, popped = self._plain
+        for c in letters:
+            while (to := edges.get(node << _SHIFT | c)) is None:
+                if link[node] < 0:
+                    return node, total, True
+                total += popped[node]
+                node = link[node]
+            node = to
+        return node, total, False
 
     def counts(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, unknown) of each word letters[start:end]; an unknown word counts 1."""
         n = len(start)
         node, total, unknown = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         live, at = np.flatnonzero(end > start), start.copy()
-        while len(live):
+        while len(live) > FEW:
             asking = live  # those that have not found an edge for their letter yet
             c = letters[at[asking]].astype(np.int64)
             while len(asking):
@@ -79,6 +96,8 @@ class Automaton:
                 asking, c = asking[~lost], c[~lost]
             at[live] += 1
             live = live[~unknown[live] & (at[live] < end[live])]
+        for w in live.tolist():
+            node[w], total[w], unknown[w] = self._one(letters[at[w] : end[w]].tolist(), int(node[w]), int(total[w]))
         live = np.flatnonzero(~unknown & (node != 1) & (end > start))
         while len(live):
             to = self.link[node[live]]

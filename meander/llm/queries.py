@@ -45,7 +45,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False, cache_words=500_000)
+    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False, cache_bytes=192 << 20)
     return found.withColumnRenamed("id", "doc_id").drop("ids")
 
 
