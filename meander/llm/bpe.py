@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import in_arrow, text_blocks
 
 #: Memory of the words that a worker keeps. A word takes its own strings and about that much for the objects that hold them.
 CACHE_BYTES = 96 << 20
@@ -304,7 +304,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     ids = pa.nulls(len(n), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), ids, pa.array(digest, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -322,4 +322,4 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
             texts = [b"".join([token[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    return in_arrow(df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text string")

@@ -8,14 +8,16 @@ ones keep the arrays of a block, some tens of times its bytes, out of an executo
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import written
 
@@ -99,6 +101,23 @@ class Prefix:
         return mix(h + (end - start).astype(np.uint64))
 
 
+def _give_back() -> None:
+    """Memory that is free but still held by this process, to the system: what a worker keeps after a task is then small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema); a worker's unused memory is given back when a task ends."""
+
+    def tidy(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def text_blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for stretches of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

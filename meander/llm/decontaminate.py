@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, PLACE, Prefix, mix, text_blocks, word_spans, written
+from .common import FOLD, PLACE, Prefix, in_arrow, mix, text_blocks, word_spans, written
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("1101101011", "1011100101101", "111010011011")
@@ -163,7 +163,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                     row, item, equal, tokens, first = (list(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([index.ids[i] for i in item]), pa.array(equal, pa.int64()), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()), pa.array([e / t for e, t in zip(equal, tokens, strict=True)], pa.float64())], ["id", "item", "n_equal", "n_tokens", "first_token", "share"])
 
-        return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema), sent
+        return in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema), sent
 
     parts = list(_in_turn(_blocks(benchmark, item_col, item_text_col), rows))
     return reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], schema)
@@ -200,7 +200,7 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                 keep[[row for row, *_ in _leaks(batch.column(place), sent.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        return left[-1].mapInArrow(run, df.schema), sent
+        return in_arrow(left[-1], run, df.schema), sent
 
     for found in _in_turn(_blocks(benchmark, item_col, item_text_col), rows):
         left.append(found)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, _high_powers, _ipow_low, _pow_low, letters, mix, text_blocks
+from .common import PLACE, _high_powers, _ipow_low, _pow_low, in_arrow, letters, mix, text_blocks
 
 #: Labelled rows from which a model is fitted, in expectation; with fewer, all of them. This bounds the model's tables.
 SAMPLE_ROWS = 40_000
@@ -134,7 +134,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     c = np.bincount(at, np.concatenate([y for _, y in parts]), minlength=len(h))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array([lang] * len(h), pa.string()), pa.array(c.astype(np.int64))], ["n", "hash", "lang", "count"])
 
-    return rows.select("text", "lang").mapInArrow(run, "n int, hash long, lang string, count long")
+    return in_arrow(rows.select("text", "lang"), run, "n int, hash long, lang string, count long")
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> Model:
@@ -176,4 +176,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, scores = sent.value.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, lang_pred string, score double")

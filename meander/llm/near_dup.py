@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Prefix, binary_rows, components, mix, text_blocks, tuples, word_spans, written
+from .common import FOLD, Prefix, binary_rows, components, in_arrow, mix, text_blocks, tuples, word_spans, written
 
 REGISTERS = 192
 ROWS = 6
@@ -77,7 +77,7 @@ def sketch(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str
             regs = np.array([registers(s) if len(s) else np.zeros(REGISTERS, np.uint16) for s in sets], np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), binary_rows(digest.ravel(), np.full(len(sets), 2)), binary_rows(regs.ravel(), np.full(len(sets), REGISTERS))], ["id", "n_shingles", "digest", "regs"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, regs binary")
+    return in_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n_shingles long, digest binary, regs binary")
 
 
 def _matrix(column, width: int, kind) -> np.ndarray:
@@ -97,7 +97,7 @@ def bands(nodes: DataFrame) -> DataFrame:
                     key = mix(key ^ regs[:, :, i])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(regs))), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["key", "band", "id"])
 
-    return nodes.select("id", "regs").mapInArrow(run, "key long, band int, id long")
+    return in_arrow(nodes.select("id", "regs"), run, "key long, band int, id long")
 
 
 def estimate(n1, n2, plus, minus, same) -> np.ndarray:
@@ -139,7 +139,7 @@ def _pairs_likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame
 
     one = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n1"), F.col("regs").alias("r1"))
     two = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n2"), F.col("regs").alias("r2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
+    return in_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2"), run, "a long, b long")
 
 
 def _group_pairs(edges: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int):
@@ -223,7 +223,7 @@ def _in_tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
             yield pairs(open_)
 
     order = ["key", "p", "q"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt.repartition(*order).sortWithinPartitions(*order), run, "a long, b long").distinct()
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -235,7 +235,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(values, np.array([len(s) for s in found], np.int64))], ["id", "s"])
 
-    return texts.hint("merge").join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"])
+    return in_arrow(texts.hint("merge").join(wanted.hint("merge"), "id", "left_semi").select("id", "text"), sets, "id long, s binary").dropDuplicates(["id", "s"])
 
 
 def _low(full: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _low(full: DataFrame) -> DataFrame:
             low = [np.unique(np.frombuffer(s.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary()), pa.array([s.as_buffer().size // 8 for s in batch.column(1)], pa.int64())], ["id", "low", "n_shingles"])
 
-    return full.mapInArrow(run, "id long, low binary, n_shingles long")
+    return in_arrow(full, run, "id long, low binary, n_shingles long")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     one, two = full.toDF("a", "s1"), full.toDF("b", "s2")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s1", "s2").mapInArrow(compare, "a long, b long").distinct()
+    return in_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "s1", "s2"), compare, "a long, b long").distinct()
 
 
 def _of_mixed_buckets(members: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, text_blocks, word_spans
+from .common import Prefix, in_arrow, text_blocks, word_spans
 
 _SHIFT = 21  # a code point has 21 bits
 #: With fewer words a step of all costs more than steps of each.
@@ -145,4 +145,4 @@ def token_counts(df: DataFrame, first: set[str], rest: set[str], id_col: str = "
             if words:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (words, tokens, unknown))], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long")
+    return in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_words long, n_tokens long, n_unknown long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, letters, mix, ragged, text_blocks, tuples, word_spans
+from .common import Prefix, in_arrow, letters, mix, ragged, text_blocks, tuples, word_spans
 
 BAD_WORDS = 10
 REPEAT_PERCENT = 20
@@ -263,7 +263,7 @@ def quality_rules(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[k], _ARROW[_TYPES[k]]) for k in NAMES)], ["id", *NAMES])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *lang).mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} {t}" for k, t in _TYPES.items()))
+    return in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *lang), run, f"id {kind}, " + ", ".join(f"{k} {t}" for k, t in _TYPES.items()))
 
 
 def good_rows(df: DataFrame, model: str, text_col: str = "text", bands: dict[str, Band] | None = None, lang_col: str = "lang") -> DataFrame:
@@ -281,4 +281,4 @@ def good_rows(df: DataFrame, model: str, text_col: str = "text", bands: dict[str
         for batch in batches:
             yield batch.filter(pa.array(_measure(batch.column(place), None if lang is None else batch.column(lang).to_pylist(), spec, bands)["kept"], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, mix, ragged, text_blocks, written
+from .common import Prefix, in_arrow, mix, ragged, text_blocks, written
 
 WIDTH = 50
 GRAM = 24
@@ -162,7 +162,7 @@ def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
             yield from _sent(part_of_key(key[first], parts), False, doc[first], key[first], context[first], np.zeros(first.sum(), np.uint8))
             yield from _sent(part_of(doc[late], parts), True, doc[late], key[late], context[late], np.ones(late.sum(), np.uint8))
 
-    return docs.select("id", "text").mapInArrow(run, _PACKED)
+    return in_arrow(docs.select("id", "text"), run, _PACKED)
 
 
 def _verdicts(sent: DataFrame, parts: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _verdicts(sent: DataFrame, parts: int) -> DataFrame:
         if open_ and (out := list(judge(open_))):
             yield _batch(out)
 
-    return sent.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(run, _PACKED)
+    return in_arrow(sent.repartition(parts, "dest").sortWithinPartitions("dest"), run, _PACKED)
 
 
 _APPLIED = "kind int, dest int, uid long, id long, route long, place long, body binary"
@@ -225,7 +225,7 @@ def _in_parts(docs: DataFrame, parts: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "ids", "sizes", "texts"])
 
-    return docs.select("id", "text").mapInArrow(run, "dest int, ids binary, sizes binary, texts binary")
+    return in_arrow(docs.select("id", "text"), run, "dest int, ids binary, sizes binary, texts binary")
 
 
 def _opened(table: pa.Table):
@@ -426,7 +426,7 @@ def _decided(contexts: DataFrame) -> DataFrame:
         if chunk and (out := list(settle(chunk))):
             yield sent(out)
 
-    return contexts.select("uid", "id", "route", "place", "body", "dest").repartition("route").sortWithinPartitions("route").mapInArrow(run, "dest int, uid long, body binary")
+    return in_arrow(contexts.select("uid", "id", "route", "place", "body", "dest").repartition("route").sortWithinPartitions("route"), run, "dest int, uid long, body binary")
 
 
 def _of_crowds(contexts: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def _of_crowds(contexts: DataFrame) -> DataFrame:
     # Few windows of a border are shared: as a table of known size they can be sent to the others instead of a second shuffle.
     least = written(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
     late = windows.join(least, "window").where("id > least").groupBy("dest", "uid", "place").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    return late.select("dest", "uid", "mask", "place").mapInArrow(run, "dest int, uid long, body binary")
+    return in_arrow(late.select("dest", "uid", "mask", "place"), run, "dest int, uid long, body binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
