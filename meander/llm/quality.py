@@ -63,13 +63,14 @@ SCRIPTS = {
 #: A text whose letters and marks, of any script, are less than that share of its words' code points has the class "none".
 LEAST_LETTERS = 1 / 3
 BANDS = {
-    "latin": Band(1.5, 12.0, 0.10, short_floor(0.8, (128, 5.2), (256, 5.6), (512, 5.8), (1024, 6.0))),
-    # Lower ends: the 0.25 % of lowest figures among all documents labelled good of that language at sf0.1 (base rules passed, 128
-    # tokens or more), for entropy by steps of length, less a margin of 0.08 for what such a document just above a step has.
-    "latin_en": Band(1.92, 12.0, 0.10, _steps(5.61, 5.85, 5.96, 6.13, 6.27, 6.46, 6.57, 6.73)),
-    "latin_de": Band(1.98, 12.0, 0.10, _steps(5.68, 5.87, 5.90, 6.08, 6.19, 6.31, 6.37, 6.52)),
-    "latin_fr": Band(1.64, 12.0, 0.10, _steps(5.47, 5.86, 5.90, 6.06, 6.08, 6.29, 6.34, 6.46)),
-    "latin_es": Band(1.72, 12.0, 0.10, _steps(5.69, 5.69, 5.84, 6.11, 6.11, 6.33, 6.42, 6.57)),
+    "latin": Band(1.25, 12.0, 0.10, short_floor(0.8, (128, 5.2), (256, 5.6), (512, 5.8), (1024, 6.0))),
+    # Entropy: the 0.25 % of lowest figures among all documents labelled good of that language at sf0.1 (base rules passed, 128 tokens
+    # or more), by steps of length, less a margin for what such a document just above a step has: 0.08, and 0.16 below 256 tokens.
+    # Characters per token: the same less 0.1 to 0.2, as numbers and keys in a good text cost many tokens.
+    "latin_en": Band(1.80, 12.0, 0.10, _steps(5.53, 5.77, 5.96, 6.13, 6.27, 6.46, 6.57, 6.73)),
+    "latin_de": Band(1.90, 12.0, 0.10, _steps(5.60, 5.79, 5.90, 6.08, 6.19, 6.31, 6.37, 6.52)),
+    "latin_fr": Band(1.60, 12.0, 0.10, _steps(5.39, 5.78, 5.90, 6.06, 6.08, 6.29, 6.34, 6.46)),
+    "latin_es": Band(1.70, 12.0, 0.10, _steps(5.61, 5.61, 5.84, 6.11, 6.11, 6.33, 6.42, 6.57)),
     # Not fitted: there is no labelled text of these scripts. Ends well outside what plain sentences of them give with the 32k vocabulary.
     "greek": Band(0.7, 8.0, 0.30, short_floor(0.57)),
     "cyrillic": Band(1.0, 10.0, 0.20, short_floor(0.64)),
