@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meander.llm import bpe, chat_format, decontaminate, lang_id, near_dup, piece_count, quality, secret_scan, sharding, suffix_dedup
 from meander.llm.queries import tokenizer
 
@@ -86,9 +87,66 @@ def test_secrets_by_owner(spark):
     assert red[1].text == "the password=[secret] here" and red[1].n_chars == len(red[1].text)
 
 
-def test_language(table):
+def test_language(spark, table):
     got = by_id(lang_id.identify(table, lang_id.fit(table)).collect())
     assert got[3].lang_pred == got[7].lang_pred == "und" and got[1].lang_pred == "en" and 0 <= got[1].score <= 1
+    # A letter beyond the third plane's end of before, marks alone, and a tie: the language that sorts first.
+    rows = [(1, "\U00032000 \U000323af", None), (2, "\u0301\u0302 \u0300", None), (3, "abc", "xx"), (4, "abc", "aa"), (5, "e\u0301", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(lang_id.identify(df, lang_id.fit(df, least_count=1)).collect())
+    assert {i: r.lang_pred for i, r in got.items()} == {1: "aa", 2: "und", 3: "aa", 4: "aa", 5: "aa"} and got[3].score == pytest.approx(0.5) and got[2].score == 0
+    assert {r.lang_pred for r in lang_id.identify(df, lang_id.fit(df.limit(0))).collect()} == {"und"}
+
+
+def test_one_very_long_word(spark):
+    """Words without a space in 200 kB, also one that occurs again."""
+    word = "".join(chr(97 + i * i % 26) for i in range(200_000))
+    df = spark.createDataFrame([(1, word), (2, word), (3, f"a {word} b")], "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).encode(word, add_special_tokens=False).ids
+    got = by_id(bpe.encode(df, tokenizer("byte_bpe_50k.json")).collect())
+    assert got[1].ids == got[2].ids == ids
+    assert {r.n_words for r in piece_count.token_counts(df, *piece_count.piece_vocabulary(tokenizer("piece_bpe_32k.model"))).collect()} == {1, 3}
+
+
+def test_ownership_counts_repositories(spark):
+    """A value in many repositories of one owner is an example, as one of many owners is; in few places it is live."""
+    def value(c):
+        return "password=" + hashlib.sha256(c.encode()).hexdigest()[:20]
+
+    rows = [(i, value("one owner"), "o", f"r{i}") for i in range(40)] + [(100 + i, value("owners"), f"o{i}", f"r{i}") for i in range(6)] + [(200 + i, value("live"), "p", f"r{i}") for i in range(3)] + [(300 + i, value("one place"), "q", "r") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repository string")
+    spans = secret_scan.scan(df, repository_col="repository")[1].where("name = 'assign'").collect()
+    got = {r.id // 100 if r.id >= 100 else 0: (r.verdict, r.n_owners, r.n_repositories) for r in spans}
+    assert got == {0: ("example", 1, 40), 1: ("example", 6, 6), 2: ("live", 1, 3), 3: ("live", 1, 1)}
+
+
+def test_redaction_keeps_rows(spark):
+    """Null and repeated ids, clashing names, long texts and many values in one."""
+    secrets = [f"token={hashlib.sha256(str(i).encode()).hexdigest()[:24]}" for i in range(3000)]
+    rows = [(None, SECRET, "o", "v", 1, "d"), (8, SECRET, "o", "v", 1, "d"), (8, SECRET, "o", "v", 1, "d"), (9, None, None, "v", 1, "d"), (10, " ".join(secrets), "o", "v", 1, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, values string, row long, doc string")
+    got = secret_scan.redact(df).collect()
+    assert len(got) == 5 and got[0].__fields__ == df.columns and all((r["values"], r.row, r.doc) == ("v", 1, "d") for r in got)
+    assert sorted(r.text or "" for r in got) == sorted(["the password=[secret] here"] * 3 + ["", " ".join(["token=[secret]"] * 3000)])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages(spark, stage):
+    """Stages with null and repeated ids, null texts and empty tables keep the rows and columns that they should."""
+    d = "/root/testdata/sf0.001"
+    rows = [(1, TEXT, "en", "s", 5), (1, TEXT, "en", "s", 5), (None, TEXT + " more of it here", "en", "s", 5), (2, None, None, None, None), (3, "", "de", "s", 0), (4, LONG, None, "s", 1)]  # the last one is no text: the rules reject it
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got, none = stage(spark, df, d), stage(spark, df.limit(0), d)
+    assert none.count() == 0 and got.columns == none.columns
+    left = sorted((r.doc_id if r.doc_id is not None else -1) for r in got.collect())
+    assert left == ([-1, 1, 1] if stage is corpus_pipeline.quality_stage else [-1, 1, 1, 2, 3, 4])
+    assert got.columns == df.columns or stage is corpus_pipeline.STAGES[-1][1]
+
+
+def test_no_benchmark(table, items):
+    assert decontaminate.clean_rows(table, items.limit(0)).count() == len(ROWS) and decontaminate.leaks(table, items.limit(0)).count() == 0
 
 
 def test_chats(spark):
@@ -99,9 +157,23 @@ def test_chats(spark):
     assert [(x.role, x.text, x.loss) for x in got[1].t] == [("user", said, None), ("assistant", said, said)]
     assert [(x.role, x.text) for x in got[2].t] == [("we\nird<|", "")] * 2 and [(x.role, x.text) for x in got[3].t] == [("", "b")]
     assert {r.layout for r in got.values()} == {"messages"}
+    mixed = {r.conv: r for r in chat_format.chats(df, chat_format.by_shape).select("conv", "layout", "turns", chat_format.parse_turns(F.col("formatted"), F.col("loss_runs")).alias("t")).collect()}
+    assert {c: r.layout for c, r in mixed.items()} == {1: "prompt_response", 2: "messages", 3: "messages", None: "from_value"}
+    assert all([(x.role, x.text) for x in r.t] == [(x.role, x.text) for x in got[c].t] for c, r in mixed.items())
     assert chat_format.chats(df.limit(0)).count() == 0
 
 
+def test_long_chats_and_clashing_names(spark):
+    long_ = "<|im_end|>" * 20_000
+    rows = [(1, i, ("user", "assistant")[i % 2], f"{i}{long_}", "f", "l", "t") for i in range(4)] + [(2, 0, "system", "s", "f", "l", "t"), (2, 1, "user", "q?", "f", "l", "t"), (2, 2, "assistant", "a\nb", "f", "l", "t"), (3, 0, "user", "why?", "f", "l", "t"), (3, 1, "assistant", "so", "f", "l", "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, fingerprint string, layout string, turns string")
+    got = {r.conv: r for r in chat_format.chats(df, chat_format.by_shape).select("conv", "layout", chat_format.parse_turns(F.col("formatted"), F.col("loss_runs")).alias("t")).collect()}
+    assert {c: r.layout for c, r in got.items()} == {1: "from_value", 2: "prompt_completion", 3: "question_answer"}
+    assert [(x.role, x.text) for x in got[1].t] == [(r[2], r[3]) for r in rows[:4]] and [x.loss for x in got[2].t] == [None, None, "a\nb"]
+    clash = df.select(chat_format.F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")).alias("record"), "fingerprint", "layout", "turns")
+    assert {r.layout for r in chat_format.canonical(clash).collect()} == {"messages"}
+
+
 def test_layouts(spark):
     docs = ['{"instruction": "do", "input": "", "output": "done"}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"prompt": "p", "completion": "c", "system": "s"}', '{"prompt": "p"}', "no json", None]
     got = chat_format.canonical(chat_format.records(spark.createDataFrame([(d,) for d in docs], "j string"), "j")).collect()
