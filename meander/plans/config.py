@@ -19,6 +19,8 @@ class WalkConfig:
     segment: int = 5
     #: Up to that many walks from a list of starts fetch the lists that they need by id instead of reading the graph.
     on_demand_walks: int = 10_000
+    #: An adjacency table of no more bytes is read whole all the same: that costs less than a job for each step.
+    on_demand_bytes: int = 10 << 20
     #: A vertex with more neighbours is a hub: its list does not travel with the walks.
     hub_degree: int = 10_000
 

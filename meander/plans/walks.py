@@ -12,7 +12,7 @@ step looks one place up, and a second-order step from or after a hub draws some
 neighbours of the previous vertex too, and takes the first that passes the acceptance ratio; walks without one draw again. Keys of these
 lookups are single edges, so the edges and the walks of a hub lie in all tasks.
 
-A few walks (on_demand_walks) do not read the whole graph: each step fetches the lists of the vertices that they stand on, by id, and so
+A few walks (on_demand_walks) do not read the whole of a large graph: each step fetches the lists of the vertices that they stand on, by id, and so
 only the buckets that hold them. Their number is checked before.
 """
 
@@ -241,15 +241,17 @@ def _decayed(cfg: WalkConfig) -> Callable[[int], Column]:
     return lambda i: u32(cfg.seed, F.col("walk_id"), i, "d") > bound
 
 
-def _few(cfg: WalkConfig, who: DataFrame, starts: DataFrame | None) -> bool:
-    """Whether a list of starts gives so few walks that lists are fetched by id."""
-    return starts is not None and who.limit(cfg.on_demand_walks + 1).count() <= cfg.on_demand_walks
+def _few(adj: DataFrame, cfg: WalkConfig, who: DataFrame, starts: DataFrame | None) -> bool:
+    """Whether a list of starts gives so few walks, in so large a graph, that lists are fetched by id."""
+    if starts is None or int(str(adj._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cfg.on_demand_bytes:
+        return False
+    return who.limit(cfg.on_demand_walks + 1).count() <= cfg.on_demand_walks
 
 
 def deepwalk(adj: DataFrame, cfg: WalkConfig, starts: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """First-order walks of at most walk_length edges; a sink ends one. vertices (v): also those without neighbours start."""
     who = _starts(adj if vertices is None else vertices.select(F.col("v").alias("src")), cfg, starts)
-    if _few(cfg, who, starts):
+    if _few(adj, cfg, who, starts):
         return _run_few(_frontier(who), adj, _uniform_step(cfg), cfg.walk_length)
     light, hubs = _split(adj, cfg)
     if hubs is not None:
@@ -261,7 +263,7 @@ def _second_order(adj: DataFrame, cfg: WalkConfig, weigh: Weigh, accept: Accept,
     who = _starts(adj.where("deg > 0"), cfg, starts)
     if starts is not None:
         who = who.join(adj.where("deg > 0").select(F.col("src").alias("source")), "source", "left_semi").select("walk_id", "source")
-    if _few(cfg, who, starts):
+    if _few(adj, cfg, who, starts):
         return _run_few(_frontier(who), adj, _class_step(cfg, weigh, stop), edges, second_order=True)
     light, hubs = _split(adj, cfg)
     if hubs is not None:
@@ -343,30 +345,43 @@ def fanout(adj: DataFrame, roots: DataFrame, sizes: list[int], seed: int) -> Dat
     return reduce(DataFrame.union, parts)
 
 
-def frontier_sample(adj: DataFrame, n_replicas: int, n_roots: int, budget: int, seed: int) -> DataFrame:
+def frontier_sample(adj: DataFrame, n_replicas: int, n_roots: int, budget: int, seed: int, segment: int = 5) -> DataFrame:
     """(replica, step, vertex): a list of roots; a slot drawn by degree gives a random neighbour, which takes its place at the end.
 
     Steps 0 .. n_roots-1 are the roots, drawn with replacement from the vertices with neighbours, in the order of ids. Each step depends on all before,
-    so replicas are the unit of parallel work; one step of all replicas is a join.
+    so replicas are the unit of parallel work: a replica is a row with its list, and one step of all replicas is a join for the drawn
+    vertex's neighbours and one for the new vertex's degree.
     """
     from ..operators.ordered import row_numbers
 
-    numbered = written(row_numbers(adj.where("deg > 0").select("src", "deg", "nbrs"), "n", F.col("src")))
+    numbered = written(row_numbers(adj.where("deg > 0").select("src", "deg"), "n", F.col("src")))
     total = numbered.count()
-    replicas = adj.sparkSession.range(n_replicas).toDF("replica").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_roots - 1))))
-    drawn = replicas.withColumn("n", F.pmod(u32(seed, F.col("replica"), F.col("slot"), "root"), F.lit(total)).cast("bigint"))
-    slots = written(drawn.join(numbered, "n").select("replica", F.col("slot").cast("bigint").alias("place"), F.col("src").alias("vertex"), F.col("deg").cast("bigint").alias("deg"), "nbrs"))
-    out = slots.select("replica", F.col("place").alias("step"), "vertex")
-    for i in range(n_roots, budget):
-        order = W.partitionBy("replica").orderBy("place")
-        k = below(u32(seed, F.col("replica"), i - n_roots, 0), F.sum("deg").over(W.partitionBy("replica")))
-        spread = slots.withColumn("to", F.sum("deg").over(order)).withColumn("k", k)
-        taken = (F.col("k") < F.col("to")) & (F.col("k") >= F.col("to") - F.col("deg"))
-        moved = spread.withColumn("taken", taken).withColumn("next", F.when(F.col("taken"), _pick(F.col("nbrs"), F.pmod(u32(seed, F.col("replica"), i - n_roots, 1), F.col("deg")))))
-        fresh = moved.where("taken").select("replica", F.lit(i).cast("bigint").alias("place"), F.col("next").alias("vertex")).join(adj.select(F.col("src").alias("vertex"), F.col("deg").cast("bigint").alias("deg"), "nbrs"), "vertex").select("replica", "place", "vertex", "deg", "nbrs")
-        slots = written(moved.where("not taken").select("replica", "place", "vertex", "deg", "nbrs").union(fresh))
-        out = out.union(slots.where(F.col("place") == i).select("replica", F.lit(i).cast("bigint").alias("step"), "vertex"))
-    return out
+    if not total or n_roots < 1:
+        return adj.sparkSession.createDataFrame([], "replica long, step long, vertex long")
+    roots = adj.sparkSession.range(n_replicas).toDF("replica").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_roots - 1))))
+    drawn = roots.withColumn("n", F.pmod(u32(seed, F.col("replica"), F.col("slot"), "root"), F.lit(total)).cast("bigint")).join(numbered, "n")
+    listed = drawn.groupBy("replica").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("src").alias("v"), F.col("deg").cast("bigint").alias("d")))).alias("live"))
+    state = written(listed.select("replica", F.transform("live", lambda x: F.struct(x["v"].alias("v"), x["d"].alias("d"))).alias("live"), F.transform("live", lambda x: x["v"]).alias("trail"), F.lit(0).alias("base")))
+    parts, at = [], n_roots
+    degree = adj.select(F.col("src").alias("_next"), F.col("deg").cast("bigint").alias("_d"))
+    near = adj.select(F.col("src").alias("_from"), F.col("deg").cast("bigint").alias("_deg"), F.col("nbrs").alias("_n"))
+    while True:
+        parts.append(state.select("replica", "base", F.posexplode("trail").alias("i", "vertex")).select("replica", (F.col("base") + F.col("i")).cast("bigint").alias("step"), "vertex"))
+        if at >= budget:
+            return reduce(DataFrame.union, parts)
+        state = state.withColumn("base", F.col("base") + F.size("trail")).withColumn("trail", F.array().cast("array<bigint>"))
+        now = min(segment, budget - at)
+        for i in range(at - n_roots, at - n_roots + now):
+            k = below(u32(seed, F.col("replica"), i, 0), F.aggregate("live", F.lit(0).cast("bigint"), lambda t, x: t + x["d"]))
+            state = state.withColumn("_k", k)
+            # Slots whose running sum of degrees does not pass the draw come before the drawn one.
+            passed = F.aggregate("live", F.struct(F.lit(0).cast("bigint").alias("to"), F.lit(0).alias("n")), lambda t, x: F.struct((t["to"] + x["d"]).alias("to"), (t["n"] + (t["to"] + x["d"] <= F.col("_k")).cast("int")).alias("n")), lambda t: t["n"])
+            state = state.withColumn("_slot", passed).withColumn("_from", F.get("live", F.col("_slot"))["v"]).join(near, "_from")
+            state = state.withColumn("_next", _pick(F.col("_n"), F.pmod(u32(seed, F.col("replica"), i, 1), F.col("_deg")))).drop("_n", "_from", "_deg", "_k").join(degree, "_next")
+            rest = F.filter("live", lambda x, j: j != F.col("_slot"))
+            state = state.select("replica", F.array_append(rest, F.struct(F.col("_next").alias("v"), F.col("_d").alias("d"))).alias("live"), F.array_append("trail", F.col("_next")).alias("trail"), "base")
+        at += now
+        state = written(state)
 
 
 def transitions(adj: DataFrame, kind: str, cfg: WalkConfig, prevs: DataFrame | None = None) -> DataFrame:

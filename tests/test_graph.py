@@ -111,7 +111,7 @@ def test_hubs_first_order_and_decay(adj, spark):
     assert paths(P.deepwalk(adj, plain)) == paths(P.deepwalk(adj, WalkConfig(walk_length=5, hub_degree=1)))
     starts = spark.createDataFrame([(0, 0), (1, 3)], "position long, source long")
     got = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40, on_demand_walks=0, hub_degree=2), starts))
-    few = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40), starts))
+    few = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40, on_demand_bytes=0), starts))
     many = paths(P.ppr(adj, WalkConfig(walk_length=5, walks_per_vertex=40, on_demand_walks=0), starts))
     assert few == many and {w: len(p) for w, p in got.items()} == {w: len(p) for w, p in many.items()}
 
