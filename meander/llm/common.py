@@ -109,9 +109,10 @@ def _give_back() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema); a worker's unused memory is given back when a task ends."""
+    """df.mapInArrow(run, schema); a worker's unused memory is given back before a task, when what the last one sent is gone, and after it."""
 
     def tidy(batches):
+        _give_back()
         yield from run(batches)
         _give_back()
 

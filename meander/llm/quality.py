@@ -26,6 +26,8 @@ REPEAT_PERCENT = 20
 SHORT_TOKENS = 128
 #: A distinct word of a block is encoded once: larger blocks than elsewhere save time.
 BLOCK = 1 << 19
+#: Rows of a batch that are filtered together.
+ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -280,6 +282,8 @@ def good_rows(df: DataFrame, model: str, text_col: str = "text", bands: dict[str
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_measure(batch.column(place), None if lang is None else batch.column(lang).to_pylist(), spec, bands)["kept"], pa.bool_()))
+            for at in range(0, batch.num_rows, ROWS):  # copies of a few rows at a time
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(_measure(part.column(place), None if lang is None else part.column(lang).to_pylist(), spec, bands)["kept"], pa.bool_()))
 
     return in_arrow(df, run, df.schema)
