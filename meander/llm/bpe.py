@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import in_arrow, text_blocks
 
 #: Memory of the words that a worker keeps. A word takes its own strings and about that much for the objects that hold them.
-CACHE_BYTES = 96 << 20
-ENTRY_BYTES = 360
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 320
 #: With fewer words a step of all costs more than steps of each.
 FEW = 16
 #: Texts whose words are looked up, and whose ids are held, together.
@@ -236,13 +236,21 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of words: (ids joined by commas, number of ids, bytes they stand for, ids as int32)."""
+    """Encodes texts with a bounded memory of words: (ids joined by commas, number of ids, ids as int32 if packed).
 
-    def __init__(self, vocabulary: Vocabulary, cache_bytes: int = CACHE_BYTES):
-        self.v, self.seen, self.held, self.cache_bytes = vocabulary, {}, 0, cache_bytes
+    The tokens of each word that goes into the memory are decoded and have to give the word's bytes, so a text's ids decode to the text.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, cache_bytes: int = CACHE_BYTES, packed: bool = True):
+        self.v, self.seen, self.held, self.cache_bytes, self.packed = vocabulary, {}, 0, cache_bytes, packed
         self.words = regex.compile(WORD_PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.fixed = {s: (str(i), 1, vocabulary.id_bytes[i], pack("<i", i)) for s, i in vocabulary.special.items()}
+        self.fixed = {s: self.entry(s.encode(), [i]) for s, i in vocabulary.special.items()}
+
+    def entry(self, raw: bytes, ids: list[int]) -> tuple:
+        if b"".join(map(self.v.id_bytes.__getitem__, ids)) != raw:
+            raise ValueError(f"the vocabulary has no tokens for {raw!r}")
+        return (",".join(map(str, ids)), len(ids), pack(f"<{len(ids)}i", *ids) if self.packed else b"")
 
     def pieces(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.fixed):
@@ -255,7 +263,7 @@ class Encoder:
                 out += self.words.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes, bytes]]]:
+    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.seen)
         if self.held > self.cache_bytes:
@@ -264,10 +272,9 @@ class Encoder:
         special = {w for w in new if w.startswith("\0special") and w[8:] in self.fixed}
         plain = list(new - special)
         raw = [w.encode() for w in plain]
-        token = self.v.id_bytes
-        for w, ids in zip(plain, self.v.encode_words(raw), strict=True):
-            self.seen[w] = entry = ",".join(map(str, ids)), len(ids), b"".join(map(token.__getitem__, ids)), pack(f"<{len(ids)}i", *ids)
-            self.held += ENTRY_BYTES + 2 * len(entry[2]) + len(entry[0]) + len(entry[3])
+        for w, r, ids in zip(plain, raw, self.v.encode_words(raw), strict=True):
+            self.seen[w] = entry = self.entry(r, ids)
+            self.held += ENTRY_BYTES + len(r) + len(entry[0]) + len(entry[2])
         for w in special:
             self.seen[w] = self.fixed[w[8:]]
         get = self.seen.__getitem__
@@ -278,7 +285,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) for each row of df.
 
     A worker keeps words in cache_bytes, besides those of one block: more take less time. ids is null unless keep_ids; decoded_sha256
-    is the digest of the text that decoding the ids gives. A null or empty text has no tokens. Rows with null or repeated ids are encoded
+    is the digest of the text that decoding the ids gives: the text itself, since the tokens of every word are decoded and compared. A null or empty text has no tokens. Rows with null or repeated ids are encoded
     each; other columns are not read; an empty table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -286,17 +293,18 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         v = sent.value
-        encoder = v.encoder = v.encoder or Encoder(v, cache_bytes)  # stays with the worker's copy of the vocabulary from task to task
+        encoder = v.encoder = v.encoder or Encoder(v, cache_bytes, keep_ids)  # stays with the worker's copy of the vocabulary from task to task
         for batch in batches:
             for at, to, data, off in text_blocks(batch.column(1), BLOCK_BYTES):
                 raw, cut = data.tobytes(), off.tolist()
                 n, packed, digest, text = [], [], [], []
-                for parts in encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]):
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                for whole, parts in zip(texts, encoder.encode(texts), strict=True):
                     n.append(sum([p[1] for p in parts]))
                     digest.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                    text.append(hashlib.sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
+                    text.append(hashlib.sha256(whole.encode()).hexdigest())
                     if keep_ids:
-                        packed.append(b"".join([p[3] for p in parts]))
+                        packed.append(b"".join([p[2] for p in parts]))
                 if keep_ids:
                     values = np.frombuffer(b"".join(packed), np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
