@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, PLACE, Prefix, in_arrow, mix, text_blocks, word_spans, written
+from .common import FOLD, PLACE, Prefix, in_arrow, mix, ragged, text_blocks, word_spans, written
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("1101101011", "1011100101101", "111010011011")
@@ -34,6 +34,10 @@ SUBSTITUTION = LEAST_SHARE / (1 - LEAST_SHARE)
 #: Two hits on a diagonal are needed.
 PAIR = "111"
 INDEX_BYTES = 32 << 20
+#: Tokens of diagonals that are compared together.
+AT_ONCE = 1 << 20
+#: Rows of a batch that are filtered together.
+ROWS = 1000
 
 #: Tokens are runs of ASCII letters and digits and of bytes beyond ASCII; everything else separates.
 _GAP = np.ones(256, bool)
@@ -65,6 +69,8 @@ class Index:
             h, first = _tokens(data, off)
             tokens += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.tokens = tokens
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.flat, self.begin = np.concatenate([*tokens, np.zeros(0, np.uint64)]), np.cumsum(self.size) - self.size
         shortest = min(map(len, MASKS))
         spans = sorted({len(t) for t in tokens if 0 < len(t) < shortest})
         #: (mask, hits needed on a diagonal)
@@ -96,9 +102,33 @@ class Index:
             at = np.repeat(at, n)
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + len(mask) <= first[doc + 1]
-            hit, n = np.unique(np.stack([doc, item[pick], at - first[doc] - place[pick]], axis=1)[inside], axis=0, return_counts=True)
+            hit, n = self._distinct(np.stack([doc, item[pick], at - first[doc] - place[pick]], axis=1)[inside], len(h))
             found.append(hit[n >= needed])
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        found = self._distinct(np.concatenate(found), len(h))[0] if found else np.zeros((0, 3), np.int64)
+        return found[self.many_equal(h, first, found)]
+
+    def _distinct(self, hits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows (document, item, diagonal) of a block of n tokens in order, and how often each is there; by one number a row if it fits."""
+        items, span = len(self.size), n + int(self.size.max(initial=0)) + 1
+        if not len(hits) or (int(hits[:, 0].max()) + 1) * items * 2 * span >= 1 << 63:
+            return np.unique(hits, axis=0, return_counts=True)
+        code, count = np.unique((hits[:, 0] * items + hits[:, 1]) * (2 * span) + hits[:, 2] + span, return_counts=True)
+        pair, diagonal = np.divmod(code, 2 * span)
+        return np.stack([pair // items, pair % items, diagonal - span], axis=1), count
+
+    def many_equal(self, h: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether a diagonal has enough equal tokens at all: a seed that many items share mostly gives others that have not."""
+        doc, item, diagonal = found.T
+        a = np.maximum(diagonal, 0)
+        n = np.minimum(first[doc + 1] - first[doc], diagonal + self.size[item]) - a
+        ok, cuts = np.zeros(len(found), bool), np.searchsorted(np.cumsum(n) // AT_ONCE, np.arange((n.sum() // AT_ONCE if len(n) else -1) + 2))
+        for x, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if z > x:
+                own = slice(x, z)
+                same = h[ragged(first[doc[own]] + a[own], n[own])] == self.flat[ragged(self.begin[item[own]] + a[own] - diagonal[own], n[own])]
+                equal = np.add.reduceat(same, np.cumsum(n[own]) - n[own], dtype=np.int64)
+                ok[own] = equal >= np.minimum(LEAST_TOKENS, self.size[item[own]])
+        return ok
 
     def leak(self, doc: np.ndarray, item: int, diagonal: int):
         """(equal tokens, tokens, first place in the document) of a diagonal's stretch with most equal tokens, or None."""
@@ -196,9 +226,11 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
         def run(batches):
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, *_ in _leaks(batch.column(place), sent.value)]] = False
-                yield batch.filter(pa.array(keep))
+                for at in range(0, batch.num_rows, ROWS):  # copies of a few rows at a time
+                    part = batch.slice(at, ROWS)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[row for row, *_ in _leaks(part.column(place), sent.value)]] = False
+                    yield part.filter(pa.array(keep))
 
         return in_arrow(left[-1], run, df.schema), sent
 
