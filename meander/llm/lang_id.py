@@ -150,7 +150,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / total)))
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
     if not langs:
-        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in range(LONGEST + 1)})
+        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0))) for n in range(LONGEST + 1)})
     found = _counts(rows).groupBy("n", "hash").agg(F.sum("count").alias("total"), *by_lang).where(F.col("total") >= least_count).drop("total").toArrow()
     kind, tables = found.column("n").to_numpy(), {}
     keys, count = found.column("hash").to_numpy().view(np.uint64), np.stack([found.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1)
@@ -158,7 +158,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
         own = np.flatnonzero(kind == n)
         own = own[np.argsort(keys[own])]
         c = count[own] + SMOOTH
-        tables[n] = keys[own], np.log(c / np.maximum(c.sum(axis=0, keepdims=True), 1e-9)).astype(np.float32)
+        tables[n] = keys[own], np.log(c / np.maximum(c.sum(axis=0, keepdims=True), 1e-9))
     return Model(langs, tables)
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, lang_id, near_dup, piece_count, quality, secret_scan, sharding, suffix_dedup
-from .sql import ORACLE_SQL as ORACLE_SQL
+from . import bpe, chat_format, decontaminate, lang_id, near_dup, piece_count, quality, secret_scan, sharding, sql, suffix_dedup
 
 #: Folder of the public tokenisers' files; found by its package if it is None.
 TOKENIZERS: str | None = None
@@ -101,7 +100,12 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0)
     model = lang_id.fit(docs.where(~F.col("held_out")))
     out = lang_id.identify(docs.withColumn("_id", F.struct("doc_id", "held_out")), model, id_col="_id")
-    return out.select("id.doc_id", "id.held_out", "lang_pred", "score")
+    return out.select("id.doc_id", "id.held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_near_dup, op4_quality_rules, op5_bpe, op6_sharding, op7_suffix_dedup, op8_chat_format, op9_secret_scan, op10_lang_id)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL (DuckDB) by query; that of op2 has the pieces of the vocabulary's file in it."""
+    return sql.ORACLE_SQL | {"op2_token_counts": sql.token_counts(*piece_count.piece_vocabulary(tokenizer("piece_bpe_32k.model")))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secret_scan
+from . import decontaminate, lang_id, secret_scan, sharding
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -102,10 +102,81 @@ g AS (SELECT doc_id, count(*) FILTER (WHERE name = 'assign') AS n_assign, count(
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (doc_id)"""
 
+
+def _crc_table() -> list[int]:
+    """The CRC-32 of each byte, by its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+TAB = f"t AS (SELECT {_crc_table()}::BIGINT[] AS tab)"
+
+
+def _crc32(text: str) -> str:
+    digits = f"regexp_extract_all(hex(encode({text})), '..')"
+    return f"xor(list_reduce(list_transform({digits}, lambda x: CAST('0x' || x AS BIGINT)), lambda a, x: xor(tab[1 + (xor(a, x) & 255)], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def token_counts(first: set[str], rest: set[str]) -> str:
+    """SQL of op2 for a vocabulary: the longest piece at each place of each distinct word, and the walk along them."""
+
+    def listed(pieces: set[str]) -> str:
+        return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(pieces)) + "]"
+
+    longest = max(map(len, first | rest))
+    return rf"""
+WITH RECURSIVE p AS (SELECT unnest({listed(first)}) AS s, TRUE AS opens UNION ALL SELECT unnest({listed(rest)}), FALSE),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS w FROM d),
+dw AS (SELECT w, length(w) AS n FROM w GROUP BY w),
+i AS (SELECT w, n, unnest(range(1, n + 1)) AS i FROM dw),
+c AS (SELECT w, i, substr(w, i, CAST(l AS BIGINT)) AS s, i = 1 AS opens FROM (SELECT w, i, unnest(range(1, least({longest}, n - i + 1) + 1)) AS l FROM i) z),
+best AS (SELECT w, i, max(length(s)) AS l FROM c JOIN p USING (s, opens) GROUP BY w, i),
+walk(w, i, k) AS (SELECT w, 1::BIGINT, 0::BIGINT FROM dw UNION ALL SELECT w, walk.i + l, k + 1 FROM walk JOIN best USING (w, i)),
+ends AS (SELECT w, max(k) FILTER (WHERE i = n + 1) AS k FROM walk JOIN dw USING (w) GROUP BY w),
+g AS (SELECT doc_id, count(*) AS n_words, sum(coalesce(k, 1)) AS n_tokens, count(*) FILTER (WHERE k IS NULL) AS n_unknown FROM w JOIN ends USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+#: The jump hash as a recursion. The order of slots is that of a single range: up to that many rows for each shard.
+SHARDING = f"""
+WITH RECURSIVE {TAB},
+k AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32("coalesce(text, '')")} AS crc, substr(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS hex FROM documents, t),
+j(doc_id, state, b, ahead) AS (SELECT doc_id, CAST('0x' || hex AS UBIGINT)::HUGEINT, -1::BIGINT, 0::BIGINT FROM k
+  UNION ALL SELECT doc_id, s, ahead, CAST(floor((ahead + 1) * (2147483648::DOUBLE / CAST((s // 8589934592) + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM j WHERE ahead < 9) z),
+s AS (SELECT doc_id, max(b) FILTER (WHERE b < 8) AS shard, max(b) AS grown FROM j GROUP BY doc_id)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY hex, doc_id, crc, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM k JOIN s USING (doc_id) WHERE (SELECT count(*) FROM documents) <= {8 * sharding.ROWS_PER_RANGE}"""
+
+#: Words and n-grams as strings; all labelled rows, so for tables that have no more than the sample.
+LANG_ID = rf"""
+WITH {TAB},
+d AS (SELECT doc_id, lang, text, {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS held_out FROM documents, t),
+w AS (SELECT doc_id, lang, held_out, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+'), lambda x: regexp_matches(x, '\p{{L}}'))) AS w FROM d),
+dw AS (SELECT DISTINCT w FROM w),
+g AS (SELECT w, 0 AS n, w AS g FROM dw UNION ALL SELECT w, n, substr(chr(10) || w || chr(10), CAST(i AS BIGINT), n) FROM (SELECT w, n, unnest(range(1, length(w) + 4 - n)) AS i FROM dw, (SELECT unnest(range(1, {lang_id.LONGEST + 1})) AS n) y) z),
+learned AS (SELECT w, lang, count(*) AS c FROM w WHERE NOT held_out AND lang IS NOT NULL GROUP BY w, lang),
+langs AS (SELECT DISTINCT lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
+counts AS (SELECT n, g, lang, sum(c) AS c FROM learned JOIN g USING (w) GROUP BY n, g, lang),
+kept AS (SELECT n, g FROM counts GROUP BY n, g HAVING sum(c) >= {lang_id.LEAST_COUNT}),
+smooth AS (SELECT n, g, lang, coalesce(c, 0) + {lang_id.SMOOTH}::DOUBLE AS c FROM kept CROSS JOIN langs LEFT JOIN counts USING (n, g, lang)),
+logs AS (SELECT n, g, lang, ln(c / sum(c) OVER (PARTITION BY n, lang)) AS p FROM smooth),
+level AS (SELECT w, arg_min(n, CASE WHEN n = 0 THEN 0 ELSE 10 - n END) AS n FROM g JOIN kept USING (n, g) GROUP BY w),
+scores AS (SELECT w, lang, avg(p) AS p FROM level JOIN g USING (w, n) JOIN logs USING (n, g) GROUP BY w, lang),
+sums AS (SELECT doc_id, scores.lang AS lang, sum(p) AS s FROM w JOIN scores USING (w) GROUP BY doc_id, scores.lang),
+best AS (SELECT doc_id, lang, 1 / sum(exp(s - m)) OVER (PARTITION BY doc_id) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM (SELECT doc_id, lang, s, max(s) OVER (PARTITION BY doc_id) AS m FROM sums) z)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN best b USING (doc_id) WHERE r IS NULL OR r = 1"""
+
 ORACLE_SQL = {
     "op1_decontamination": DECONTAMINATION,
     "op3_near_dup": NEAR_DUP,
+    "op6_sharding": SHARDING,
     "op7_suffix_dedup": SUFFIX_DEDUP,
     "op8_chat_format": CHAT_FORMAT,
     "op9_secret_scan": SECRET_SCAN,
+    "op10_lang_id": LANG_ID,
 }

@@ -16,12 +16,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [*queries.ORACLE_SQL])
+@pytest.mark.parametrize("name", [*queries.oracle_sql()])
 def test_same_rows(spark, duck, name):
     df = queries.QUERIES[name](spark, D)
     cols = sorted(df.columns)
     mine = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
-    r = duck.execute(queries.ORACLE_SQL[name])
+    r = duck.execute(queries.oracle_sql()[name])
     names = [x[0] for x in r.description]
     assert sorted(names) == cols
     assert mine and mine == sorted(str(tuple(row[names.index(c)] for c in cols)) for row in r.fetchall())
