@@ -19,7 +19,7 @@ only the buckets that hold them. Their number is checked before.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -328,6 +328,10 @@ def pick_by_weight(candidates: Column, draw: Column) -> Column:
     return F.aggregate(candidates, empty, on, lambda t: F.coalesce(t["x"], t["last"]))
 
 
+def _picks(draw: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda j: _pick(F.col("nbrs"), F.pmod(draw(j), F.size("nbrs")))
+
+
 def fanout(adj: DataFrame, roots: DataFrame, sizes: list[int], seed: int) -> DataFrame:
     """(root, level, ordinal, vertex): sizes[l] draws with replacement from the neighbours of each vertex of level l.
 
@@ -338,9 +342,10 @@ def fanout(adj: DataFrame, roots: DataFrame, sizes: list[int], seed: int) -> Dat
     parts = [level]
     for i, s in enumerate(sizes):
         near = level.join(adj.where("deg > 0").select(F.col("src").alias("vertex"), "nbrs"), "vertex")
-        child = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-        u = u32(seed, F.col("root"), i, F.col("ordinal"), F.col("j"))
-        level = child.select("root", F.lit(i + 1).alias("level"), (F.col("ordinal") * s + F.col("j")).cast("bigint").alias("ordinal"), _pick(F.col("nbrs"), F.pmod(u, F.size("nbrs"))).alias("vertex"))
+        draw = partial(u32, seed, F.col("root"), i, F.col("ordinal"))
+        # Picked before they become rows: a list of neighbours is not copied for each child.
+        each = near.select("root", "ordinal", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s - 1)), _picks(draw))).alias("j", "vertex"))
+        level = each.select("root", F.lit(i + 1).alias("level"), (F.col("ordinal") * s + F.col("j")).cast("bigint").alias("ordinal"), "vertex")
         parts.append(level)
     return reduce(DataFrame.union, parts)
 
