@@ -11,8 +11,9 @@ minimum of exponential variables. Such registers merge by maximum, and equal one
 4. verify        the rest is compared on full sets, rebuilt from the texts of the documents that share a bucket
 5. components    of verified links
 6. the rest      a bucket whose members are in several components may hide more links: they meet in tiles of bounded size,
-                 pairs inside a component and pairs that an earlier band also joins left out; those that pass the
-                 estimate and a bound on the intersection from 16-bit hashes of the sets go through 4
+                 pairs inside a component and pairs that an earlier band also joins left out; a component of more than a tile
+                 has tiles of its own, which are not held against each other; those that pass the estimate and a bound on the
+                 intersection from 16-bit hashes of the sets go through 4
 
 No bucket is capped: step 6 is the exact way for what the stars leave. A pair shares no band with probability
 (1 - 0.8^6)^32 = 6e-5 at similarity 0.8 and 3e-7 at 0.85.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import FOLD, Prefix, binary_rows, components, in_arrow, mix, text_blocks, tuples, word_spans, written
 
@@ -176,19 +178,31 @@ def _may_reach(i: np.ndarray, j: np.ndarray, n: np.ndarray, low: list[np.ndarray
     return ok
 
 
+def _in_parts(members: DataFrame) -> DataFrame:
+    """members (key, band, id, comp, n) with part and, a row for each, the other parts of their bucket that they have to meet.
+
+    A bucket is cut into parts of about TILE members. Those of a component with more than TILE members fill parts of their own and
+    meet all but these; so a large group of copies costs what it has to be held against, not its square.
+    """
+    key = W.partitionBy("key")
+    large = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where(F.col("m") > TILE).withColumn("own", F.ceil(F.col("m") / TILE).cast("int"))
+    large = large.withColumn("small", F.ceil((F.col("n") - F.sum("m").over(key)) / TILE).cast("int"))
+    large = large.withColumn("first", (F.col("small") + F.sum("own").over(key.orderBy("comp")) - F.col("own")).cast("int")).withColumn("total", (F.col("small") + F.sum("own").over(key)).cast("int"))
+    every = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
+    placed = members.join(large.select("key", "comp", "first", "own"), ["key", "comp"], "left").join(large.select("key", "small", "total").distinct(), "key", "left")
+    placed = placed.withColumn("small", F.coalesce("small", every)).withColumn("total", F.coalesce("total", every)).withColumn("h", F.xxhash64("id", "key"))
+    part = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod("h", "own")).otherwise(F.pmod("h", "small")).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.col("first").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
+    return placed.select("key", "band", "id", "comp", part.alias("part"), F.explode(met).alias("other"))
+
+
 def _in_tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of members (key, band, id, comp, n, n_shingles, regs, low) of one bucket in different components.
+    """Likely pairs (a, b) of members (key, part, other, band, id, comp, n_shingles, regs, low) of one bucket in different components.
 
-    A bucket of n members is cut into n / TILE parts; each pair of parts is one group of at most a few TILE rows. Groups stand in
-    order in a task, and the pairs of many small ones are estimated together. low: the distinct 16-bit hashes of a set. No more
-    elements can be common than low hashes are, and those that one set lost by collisions.
+    Groups stand in order in a task, and the pairs of many small ones are estimated together. low: the distinct 16-bit hashes of a
+    set. No more elements can be common than low hashes are, and those that one set lost by collisions.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
-    dealt = (
-        members.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "band", "id", "comp", "n_shingles", "regs", "low")
-    )
+    dealt = members.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "band", "id", "comp", "n_shingles", "regs", "low")
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         key, p, q, part, band, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "part", "band", "id", "comp", "n_shingles"))
@@ -295,7 +309,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     found = components(links)
 
     placed = met.where("n > 2").join(found, met.id == found.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"))
-    rest = _of_mixed_buckets(placed).join(nodes.select("id", "n_shingles", "regs"), "id").join(_low(full), ["id", "n_shingles"])
+    rest = _in_parts(written(_of_mixed_buckets(placed))).join(nodes.select("id", "n_shingles", "regs"), "id").join(_low(full), ["id", "n_shingles"])
     more = written(_in_tiles(rest, least, percent))
     if not more.isEmpty():
         links = links.union(written(_verified(more, full, percent)))

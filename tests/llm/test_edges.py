@@ -63,6 +63,36 @@ def test_near(table):
     assert [got[i].n_shingles for i in (3, 4, 5, 7, 9)] == [0, 0, 29_998, 0, 1] and got[None].kept and not got[6].kept
 
 
+@pytest.mark.parametrize("tile", [near_dup.TILE, 4, 1])
+def test_near_in_crowded_buckets(spark, monkeypatch, tile):
+    """A large group of near copies among texts that are nearly, and partly enough, like them: every pair against the plain definition."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(90):
+        own = base.copy()
+        for at in draw.sample(range(120), (1, 2, 5, 6, 7, 8)[i % 6] if i > 30 else 1):
+            own[at] = f"x{i}_{at}"
+        texts[i] = " ".join(own)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(118)} for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for i, j in combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            linked += 1
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), words=3, percent=85).collect())
+    assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in sets} and 0 < linked < 90 * 89 / 2 and len({find(i) for i in sets}) > 2
+
+
 def test_suffix(table):
     got = by_id(suffix_dedup.remove_repeats(table).collect())
     n = len(TEXT)
