@@ -14,7 +14,7 @@ def visits(steps: DataFrame) -> DataFrame:
 
 
 def visit_probability(counts: DataFrame) -> DataFrame:
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("cnt").alias("_all")))).select("vertex", (F.col("cnt") / F.col("_all")).alias("prob"))
+    return counts.select("vertex", (F.col("cnt") / counts.agg(F.sum("cnt")).scalar()).alias("prob"))
 
 
 def ppr_scores(steps: DataFrame, walks_per_source: int) -> DataFrame:
