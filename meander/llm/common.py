@@ -101,7 +101,7 @@ class Prefix:
         return mix(h + (end - start).astype(np.uint64))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory that is free but still held by this process, to the system: what a worker keeps after a task is then small."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
@@ -112,9 +112,9 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """df.mapInArrow(run, schema); a worker's unused memory is given back before a task, when what the last one sent is gone, and after it."""
 
     def tidy(batches):
-        _give_back()
+        give_back()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(tidy, schema)
 

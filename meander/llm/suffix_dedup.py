@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, in_arrow, mix, ragged, text_blocks, written
+from .common import Prefix, give_back, in_arrow, mix, ragged, text_blocks, written
 
 WIDTH = 50
 GRAM = 24
@@ -248,6 +248,7 @@ def _applied(docs: DataFrame, verdicts: DataFrame, parts: int) -> DataFrame:
     """Rows of two kinds. 0: spans (body) of a document that an earlier one has; 1: an undecided context and its place."""
 
     def run(key, left, right):
+        give_back()
         part = key[0].as_py()
         rows: list[tuple] = []
         packed = list(zip(*(right.column(f).to_pylist() for f in _FIELDS), strict=True))
@@ -285,6 +286,7 @@ def _finished(docs: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
     """The result of each document from its spans (dest, uid, body)."""
 
     def run(key, left, right):
+        give_back()
         uids, bodies = right.column("uid").to_numpy(), right.column("body").to_pylist()
         gone: dict[int, list[bytes]] = {}
         for u, b in zip(uids.tolist(), bodies, strict=True):
