@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -523,6 +522,4 @@ query("g_default_blocks", ADJ + ", n AS (SELECT max(src) + 1 AS v FROM adj) SELE
 @_with_blocks
 def choose_block(st, b, a):
     """Sixteen draws of the choice, one for each number."""
-    walks = written(_walks(st))
-    draws = [S.choose_block(walks, b, 0.2, u32(SEED, i, "block") / F.lit(1 << 32)).select(F.lit(i).alias("i"), "block_id") for i in range(16)]
-    return reduce(DataFrame.union, draws)
+    return S.choose_block(_walks(st), b, 0.2, u32(SEED, F.col("i"), "block") / F.lit(1 << 32), 16)

@@ -57,9 +57,10 @@ def block_choice(steps: DataFrame, blocks: DataFrame) -> DataFrame:
     return per.agg(F.max_by("block_id", F.struct("n", -F.col("block_id"))).alias("most_walks"), F.min_by("block_id", F.struct("hop", "block_id")).alias("least_hop"))
 
 
-def choose_block(steps: DataFrame, blocks: DataFrame, prob: float, draw: Column) -> DataFrame:
-    """(block_id): the block of the fewest hops if the draw, from 0 to below 1, is under prob; else that of most walks."""
-    return block_choice(steps, blocks).select(F.when(draw < prob, F.col("least_hop")).otherwise(F.col("most_walks")).alias("block_id"))
+def choose_block(steps: DataFrame, blocks: DataFrame, prob: float, draw: Column, draws: int = 1) -> DataFrame:
+    """(i, block_id) for a number of draws: the block of the fewest hops if the draw, from 0 to below 1 and by i, is under prob; else that of most walks."""
+    each = block_choice(steps, blocks).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return each.select("i", F.when(draw < prob, F.col("least_hop")).otherwise(F.col("most_walks")).alias("block_id"))
 
 
 def block_log(steps: DataFrame, blocks: DataFrame, adj: DataFrame) -> DataFrame:
