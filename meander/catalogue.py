@@ -12,6 +12,7 @@ from .operators import graph as G
 from .operators import stats as S
 from .plans import walks as P
 from .plans.config import WalkConfig
+from .plans.similarity import linkscan_sums
 from .sources import sinks, text
 from .sources.tables import copurchase_edges, in_buckets, new_path, supplier_part_edges, table, written
 
@@ -194,7 +195,8 @@ AR_W = "4 * pd + CASE WHEN list_contains(pn, next) THEN cd ELSE 0 END"
 query("s_ar_transition", _transition_sql(AR_W, "(CAST(0.8 AS DOUBLE) / cd + CASE WHEN list_contains(pn, next) THEN CAST(0.2 AS DOUBLE) / pd ELSE 0 END) / (CAST(0.8 AS DOUBLE) / cd + CAST(0.2 AS DOUBLE) / pd)"))(_transitions("ar", CFG))
 LINK_W = "CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1 ELSE 0 END) ELSE c * 1048576 // (2 + pd + x.deg - c) END"
 LINK_RATIO = "CASE WHEN next = prev THEN (CASE WHEN cd = 1 THEN 1.0 ELSE 0.0 END) ELSE CAST(c AS DOUBLE) / (2 + pd + x.deg - c) END"
-query("s_linkscan_transition", _transition_sql(LINK_W, LINK_RATIO, "JOIN (SELECT prev, next, count(*) AS c FROM steps GROUP BY prev, next) z USING (prev, next) JOIN adj x ON x.src = next"))(_transitions("linkscan", CFG))
+query("s_linkscan_transition", _transition_sql(LINK_W, LINK_RATIO, "JOIN (SELECT prev, next, count(*) AS c FROM steps GROUP BY prev, next) z USING (prev, next) JOIN adj x ON x.src = next"))(
+    lambda s, d: linkscan_sums(adj(s, d)).withColumns({"top_prob": F.round("top_prob", 6), "ratio_sum": F.round("ratio_sum", 4)}))
 
 
 @query("s_acceptance", ADJ + PAIRS + f", k AS (SELECT prev, cur, CAST({N2V_RATIO} AS DOUBLE) AS ratio FROM steps) SELECT prev, cur, ratio, count(*) AS n_next FROM k GROUP BY prev, cur, ratio")

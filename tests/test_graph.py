@@ -6,10 +6,12 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from meander import catalogue
 from meander.operators import graph as G
 from meander.operators import stats as S
 from meander.plans import walks as P
 from meander.plans.config import WalkConfig
+from meander.plans.similarity import linkscan_sums
 from meander.sources import sinks, tables, text
 from meander.sources.tables import in_buckets, written
 
@@ -60,6 +62,29 @@ def test_degree_one_returns(adj):
     assert [r.next for r in P.transitions(adj, "linkscan", WalkConfig()).where("prev = 3 and cur = 4 and w > 0").collect()] == [3]
 
 
+@pytest.mark.parametrize(("block_steps", "at_once"), [(1 << 23, 1 << 20), (1 << 23, 50), (400, 1 << 20), (400, 30), (40, 1 << 20)])
+def test_linkscan_sums_by_block(spark, block_steps, at_once):
+    """Rings, a hub, a clique and a pair under scattered ids, below 0 too: few and many blocks, and vertices that fit none."""
+    ring = [(i, (i + k) % 200) for i in range(200) for k in (1, 7)]
+    ends = [*ring, *((500, i) for i in range(0, 200, 3)), *((i, j) for i in range(300, 312) for j in range(300, i)), (600, 601)]
+    edges = spark.createDataFrame([((a * 7919 % 1009 - 300) << 20, (b * 7919 % 1009 - 300) << 20) for a, b in ends], "src long, dst long")
+    a = G.adjacency(G.undirected(edges)).cache()
+    w = F.col("w")
+    want = P.transitions(a, "linkscan", WalkConfig()).groupBy("prev", "cur").agg(F.count("w"), F.sum("w"), F.sum(w * F.col("next")), F.round(F.max("prob"), 12), F.round(F.sum("ratio"), 9))
+    got = linkscan_sums(a, block_steps, at_once)
+    assert rows(got.withColumns({"top_prob": F.round("top_prob", 12), "ratio_sum": F.round("ratio_sum", 9)})) == rows(want)
+
+
+def test_linkscan_sums_of_no_edges(spark):
+    assert linkscan_sums(G.adjacency(spark.createDataFrame([], "src long, dst long"))).count() == 0
+
+
+def test_linkscan_query_deals_no_steps_out(spark):
+    """Only lists of neighbours move; windows over the steps, of which there are as many as the sum of squared degrees, filled the disk."""
+    plan = catalogue.QUERIES["s_linkscan_transition"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and "Generate" not in plan
+
+
 def paths(df):
     out = {}
     for r in df.orderBy("walk_id", "step").collect():
