@@ -23,9 +23,9 @@ from .config import WalkConfig
 from .walks import transitions
 
 #: Steps of a block: they bound the entries of its lists, so its memory.
-BLOCK_STEPS = 1 << 23
+BLOCK_STEPS = 1 << 22
 #: Steps that are weighed at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 DEALT = "block int, v binary, n binary, first binary, gap binary, deg binary"
 SUMS = "prev long, cur long, n_next long, w_sum long, w_next long, top_prob double, ratio_sum double"
 
@@ -35,8 +35,10 @@ def linkscan_sums(adj: DataFrame, block_steps: int = BLOCK_STEPS, at_once: int =
 
     A vertex with more than block_steps steps fits no block. Its steps are brought together by their ends, as transitions does it.
     """
+    _shuffles_gone(adj)
     near = adj.select(F.explode("nbrs").alias("v"), F.struct(F.col("src").alias("x"), F.col("deg").cast("bigint").alias("d")).alias("e")).groupBy("v").agg(F.sort_array(F.collect_list("e")).alias("e"))
     lists = written(near.select(F.col("v").alias("src"), F.aggregate("e", F.lit(0).cast("bigint"), lambda t, e: t + e["d"]).alias("steps"), F.col("e.x").alias("nbrs"), F.col("e.d").alias("degs")))
+    _shuffles_gone(adj)
     least = lists.agg(F.min("src")).first()[0]
     if least is None:
         return adj.sparkSession.createDataFrame([], SUMS)
@@ -62,6 +64,11 @@ def linkscan_sums(adj: DataFrame, block_steps: int = BLOCK_STEPS, at_once: int =
     return out.union(heavy.groupBy("prev", "cur").agg(F.count(F.lit(1)), F.sum(w), F.sum(w * F.col("next")), F.max("prob"), F.sum("ratio")))
 
 
+def _shuffles_gone(df: DataFrame) -> None:
+    """Shuffle files of earlier tables go when the driver collects its garbage: now, not when it happens to."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _packed(a: np.ndarray) -> bytes:
     """Whole numbers from their least one, in as few bytes as the largest needs, by place of the byte."""
     base = int(a.min()) if len(a) else 0
@@ -108,6 +115,7 @@ def _dealt(b: pa.RecordBatch, starts: np.ndarray, fits: np.ndarray) -> Iterator[
 def _sums(parts: list[list[np.ndarray]], start: int, end: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """The sums for the edges (prev, cur) with prev in start .. end-1, from the lists of all their neighbours."""
     v, n, first, x, deg = (np.concatenate(a) for a in zip(*parts, strict=True))
+    parts.clear()
     at = np.cumsum(n) - n
     x = np.cumsum(x)
     x += np.repeat(first - x[at], n)
